@@ -41,13 +41,14 @@ class Scratch:
             if not spark.sparkContext.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = f"file://{tempfile.gettempdir()}/modalflow-scratch"
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
         self.root = f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
+        self.paths[id(out)] = (out, path)
         return out
 
     def free(self, *tables: DataFrame) -> None:
@@ -55,7 +56,7 @@ class Scratch:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for df in tables:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(df))[1])
             path.getFileSystem(conf).delete(path, True)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from modalflow.llm import bpe, decontam, langid, quality, toxicity
+from modalflow.llm import bpe, decontam, embedding, langid, linededup, minhash, quality, toxicity
 from modalflow.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -23,16 +23,33 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digest(table(spark, sf_dir, "documents"))
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_bpe, op2_decontamination, op3_toxicity, op7_quality, op10_language)
+    for f in (op1_bpe, op2_decontamination, op3_toxicity, op4_line_dedup, op5_embedding_dedup, op7_quality, op9_minhash_dedup, op10_language)
+}
+ORACLES = {
+    "op2_decontamination": decontam.ORACLE,
+    "op4_line_dedup": linededup.ORACLE,
+    "op5_embedding_dedup": embedding.ORACLE,
+    "op9_minhash_dedup": minhash.ORACLE,
 }
-ORACLES = {"op2_decontamination": decontam.ORACLE}
