@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from modalflow.llm import bpe, decontam, embedding, langid, linededup, minhash, quality, toxicity
+from modalflow.llm import bpe, decontam, embedding, hmm, langid, linededup, minhash, quality, suffix, toxicity
 from modalflow.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -31,10 +31,18 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -45,7 +53,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_bpe, op2_decontamination, op3_toxicity, op4_line_dedup, op5_embedding_dedup, op7_quality, op9_minhash_dedup, op10_language)
+    for f in (
+        op1_bpe, op2_decontamination, op3_toxicity, op4_line_dedup, op5_embedding_dedup,
+        op6_suffix_dedup, op7_quality, op8_hmm_scores, op9_minhash_dedup, op10_language,
+    )
 }
 ORACLES = {
     "op2_decontamination": decontam.ORACLE,
