@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from modalflow.queries import panels, signals
+from modalflow.queries import kernels, panels, signals
 
 FLAGSHIP = "fft_peaks"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**signals.QUERIES, **panels.QUERIES}
-ORACLES: dict[str, str] = {**signals.ORACLES, **panels.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**signals.QUERIES, **panels.QUERIES, **kernels.QUERIES}
+ORACLES: dict[str, str] = {**signals.ORACLES, **panels.ORACLES, **kernels.ORACLES}
