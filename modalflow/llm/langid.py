@@ -87,14 +87,17 @@ def _tables(samples: list[tuple[str, bytes]]) -> tuple[np.ndarray, np.ndarray, n
         parts, starts, base = [], [], 0
         for _, sample in samples:
             nexts = suffix_automaton(sample)
-            root = np.full(width, 2 * base + 1, np.int32)
+            # Where no transition goes on, a piece ends and the next one starts; an unknown byte leads to a state that only ends pieces.
+            unknown = base + len(nexts)
+            restart = np.full(width, 2 * unknown + 1, np.int32)
             for c, q in nexts[0].items():
-                root[cls[c]] = 2 * (base + q) + 1
-            step = np.repeat(root[None, :], len(nexts), axis=0)
+                restart[cls[c]] = 2 * (base + q) + 1
+            step = np.repeat(restart[None, :], len(nexts) + 1, axis=0)
+            step[0] -= 1
             at = np.array([(i, cls[c], base + q) for i, n in enumerate(nexts) for c, q in n.items()], np.int64).reshape(-1, 3)
             step[at[:, 0], at[:, 1]] = 2 * at[:, 2]
             starts.append(base)
-            base += len(nexts)
+            base += len(nexts) + 1
             parts.append(step)
         _models.clear()
         _models[key] = (cls, np.concatenate(parts).ravel(), np.array(starts, np.int32), width)
