@@ -126,34 +126,36 @@ def within_one(a: Column, b: Column) -> Column:
 
 
 def without(documents: DataFrame, dropped: DataFrame) -> DataFrame:
-    """`documents` with the lines left in `text`, and n_lines, n_dropped."""
+    """`documents` with the lines left in `text`, and __lines and __dropped, their numbers."""
     gaps = F.zip_with("d", F.concat(F.array(F.lit(-1)), F.slice("d", F.lit(1), F.size("d") - 1)), lambda p, q: F.concat(F.repeat(F.lit("0"), p - q - 1), F.lit("1")))
     marks = (
         dropped.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("d"))
-        .select("doc_id", F.size("d").cast("long").alias("n_dropped"), F.array_join(gaps, "").cast("binary").alias("marks"))
+        .select("doc_id", F.size("d").cast("long").alias("__dropped"), F.array_join(gaps, "").cast("binary").alias("__marks"))
     )
     lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda _, i: F.coalesce(F.substring(F.col("marks"), i + 1, F.lit(1)) != F.lit(b"1"), F.lit(True)))
+    kept = F.filter(lines, lambda _, i: F.coalesce(F.substring(F.col("__marks"), i + 1, F.lit(1)) != F.lit(b"1"), F.lit(True)))
     return (
         documents.join(marks, "doc_id", "left")
-        .withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"))
-        .withColumn("text", F.when(F.col("marks").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-        .withColumn("n_dropped", F.coalesce("n_dropped", F.lit(0).cast("long")))
-        .drop("marks")
+        .withColumn("__lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"))
+        .withColumn("text", F.when(F.col("__marks").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+        .withColumn("__dropped", F.coalesce("__dropped", F.lit(0).cast("long")))
+        .drop("__marks")
     )
 
 
 def digest(documents: DataFrame, **kw) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256."""
     docs = documents.select("doc_id", "text")
-    return without(docs, dropped_lines(docs, **kw)).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return without(docs, dropped_lines(docs, **kw)).select(
+        "doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    )
 
 
 def dedup(documents: DataFrame, **kw) -> DataFrame:
     """`documents` with the lines left; a document that had words and has none left is a copy of earlier lines and goes."""
     names = documents.columns
     out = without(documents, dropped_lines(documents.select("doc_id", "text"), **kw))
-    gone = (F.col("n_dropped") > 0) & (F.trim(F.regexp_replace("text", "[\\s]+", " ")) == "")
+    gone = (F.col("__dropped") > 0) & (F.trim(F.regexp_replace("text", "[\\s]+", " ")) == "")
     return out.where(~F.coalesce(gone, F.lit(False))).select(*names)
 
 

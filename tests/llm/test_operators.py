@@ -1,0 +1,308 @@
+"""The ten operators on edge cases and against brute force, SQL, round trips or held-out accuracy."""
+
+import hashlib
+import itertools
+import math
+import zlib
+from collections import Counter
+from pathlib import Path
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+from conftest import edge_rows, prose  # noqa: F401
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from modalflow.llm import bpe, decontam, embedding, hmm, langid, linededup, minhash, quality, registry, suffix, toxicity
+
+RANKS = public_tokenizers.path(registry.RANKS)
+SF = "/root/testdata/sf0.001"
+
+
+def sorted_rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def test_bpe_equals_the_library_and_round_trips(docs, no_docs):
+    codec = bpe.Codec.of(RANKS, public_tokenizers.PATTERN)
+    for chunk, overlap in ((bpe.CHUNK, bpe.OVERLAP), (60, 20)):
+        got = sorted_rows(bpe.digest(docs, RANKS, public_tokenizers.PATTERN, chunk=chunk, overlap=overlap))
+        want = []
+        for i, t, *_ in edge_rows():
+            ids = codec.encoding.encode_ordinary(t or "")
+            want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+        assert got == sorted(want, key=repr)
+    assert bpe.digest(no_docs, RANKS, public_tokenizers.PATTERN).count() == 0
+    with pytest.raises(ValueError):
+        bpe.encode(docs, RANKS, public_tokenizers.PATTERN, chunk=10, overlap=10)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="aB1 '\n\tsltrevmd.,é　", max_size=120))
+def test_bpe_seams(text):
+    """Chunks scanned from their own starts agree from their first common boundary on."""
+    codec = bpe.Codec.of(RANKS, public_tokenizers.PATTERN)
+    chunk, overlap = 24, 20
+    true = codec.boundaries(text)
+    parts = [text[k : k + chunk + overlap] for k in range(0, max(1, len(text) - overlap), chunk)]
+    for k, (a, b) in enumerate(itertools.pairwise(parts), 1):
+        tail = {x - chunk for x in codec.boundaries(a) if chunk <= x <= len(a) - bpe.LOOKAHEAD}
+        common = sorted(tail & {x for x in codec.boundaries(b) if x < overlap})
+        # A cut that follows a true start of the chunk before is a true boundary.
+        if common and (k == 1):
+            assert common[0] + chunk * k in true
+
+
+def brute_decontam(rows, items, window=13):
+    def words(t):
+        return [w for w in (t or "").encode().translate(decontam.LOWER_ALNUM).split(b" ") if w]
+
+    wins = {}
+    for item, t in items:
+        w = words(t)
+        for i in range(max(1, len(w) - window + 1) if w and item is not None else 0):
+            wins.setdefault(tuple(w[i : i + window]), set()).add(str(item))
+    out = []
+    for i, t, *_ in rows:
+        w, hit, named = words(t), set(), set()
+        for n in {len(x) for x in wins}:
+            for s in range(len(w) - n + 1):
+                if (got := wins.get(tuple(w[s : s + n]))):
+                    hit |= set(range(s, s + n))
+                    named |= got
+        out.append((i, len(w), len(hit), len(named), hashlib.sha256(",".join(sorted(named)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+    return sorted(out, key=repr)
+
+
+def test_decontamination_equals_brute_force(spark, docs, no_docs):
+    base = edge_rows()[0][1].split()
+    items = [(1, " ".join(base[5:30])), (2, "ONE, two"), (10, "one-TWO three"), (3, ""), (4, None), (None, "a b"), (1, " ".join(base[5:30])), (7, "é" * 60)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_decontam(edge_rows(), items)
+    assert sorted_rows(decontam.digest(decontam.find(docs, bench))) == want
+    spans = {r["doc_id"]: r["spans"] for r in decontam.find(docs, bench).where("doc_id = 11").collect()}
+    assert [(s["start"], s["stop"]) for s in spans[11]] == [(0, len("ONE  two\tthree"))]
+    assert decontam.digest(decontam.find(docs, bench.limit(0))).where("contaminated").count() == 0
+    assert decontam.find(no_docs, bench).count() == 0
+    assert decontam.clean(docs, bench).columns == docs.columns
+
+
+def test_decontamination_in_blocks_is_the_same(spark, docs):
+    bench = spark.createDataFrame([(i, prose(1, 120)[i * 10 : i * 10 + 200]) for i in range(6)], "item_id long, text string")
+    unique = docs.dropDuplicates(["doc_id"]).where("doc_id is not null")
+    assert sorted_rows(decontam.digest(decontam.find(unique, bench, block_bytes=300))) == sorted_rows(decontam.digest(decontam.find(unique, bench)))
+
+
+@pytest.mark.parametrize("op", [toxicity, quality])
+def test_classifier_edge_cases(docs, no_docs, labels, op):
+    got = op.digest(docs, labels).collect()
+    assert len(got) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % op.MODULUS == op.HELD_OUT) for r in got if r["doc_id"] is not None)
+    assert op.digest(no_docs, labels).count() == 0
+    assert len(op.digest(docs, labels.limit(0)).collect()) == docs.count()
+
+
+def accuracy(spark, op, column):
+    d, lab = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = op.digest(d, lab).join(lab, "doc_id").where(f"held_out and {column} is not null")
+    return got.agg(F.avg((F.col("predicted") == F.col(column)).cast("double"))).first()[0]
+
+
+def test_held_out_accuracy(spark):
+    assert accuracy(spark, quality, "quality") > 0.95
+    assert accuracy(spark, toxicity, "toxic") > 0.93
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lang = langid.digest(d).join(d.select("doc_id", "lang"), "doc_id").where("held_out")
+    assert lang.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.97
+
+
+def test_label_model_finds_accurate_voters():
+    rng = np.random.default_rng(0)
+    y = rng.random(2000) < 0.2
+    good = [(rng.random(2000) < np.where(y, 0.8, 0.02)).astype(float) for _ in range(4)]
+    copy = good[0].copy()
+    noise = (rng.random(2000) < 0.3).astype(float)
+    x = np.stack([*good, copy, noise], 1)
+    q = toxicity.label_model(x, np.where(x[:, :4].sum(1) >= 2, 0.9, 0.05))
+    assert ((q > 0.5) == y).mean() > 0.97
+
+
+def test_language_pieces_are_greedy_longest_matches():
+    sample = b"abracadabra and more"
+    text = b"abra more zz cadab"
+    n, at = 0, 0
+    while at < len(text):
+        k = 1
+        while at + k < len(text) and text[at : at + k + 1] in sample:
+            k += 1
+        n, at = n + 1, at + k
+    assert langid.pieces([text], [("x", sample)])[0, 0] == n
+
+
+def test_language_edge_cases(docs, no_docs):
+    got = {(r["doc_id"], r["lang_pred"]) for r in langid.digest(docs).collect()}
+    assert (4, "und") in got and (5, "und") in got and (19, "und") in got and (1, "en") in got
+    assert langid.digest(no_docs).count() == 0
+    assert {r["lang_pred"] for r in langid.digest(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def brute_lines(rows, least=5):
+    def words(line):
+        return line.strip(" ").lower().split(" ")
+
+    def near(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
+        a, b = sorted((a, b), key=len)
+        return len(b) - len(a) == 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    lines = [(i, p, words(x)) for i, t in rows for p, x in enumerate((t or "").split("\n"))]
+    lines = sorted((i, p, w) for i, p, w in lines if len(w) >= least)
+    return {(i, p) for k, (i, p, w) in enumerate(lines) if any(near(v, w) for _, _, v in lines[:k])}
+
+
+def test_line_dedup_equals_brute_force(spark, docs, no_docs):
+    extra = ["a b c d e f", "a b c d e", "a b X d e f", "b c d e f", "A B C D E F ", "q b c d e f g", "a b c d e f"]
+    rows = {i: t for i, t, *_ in edge_rows() if i is not None and t is not None} | {100 + i: t + "\n" + "short line" for i, t in enumerate(extra)}
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {(r["doc_id"], r["pos"]) for r in linededup.dropped_lines(df).collect()}
+    assert got == brute_lines(sorted(rows.items()))
+    out = linededup.dedup(docs)
+    assert out.columns == docs.columns and out.where("doc_id is null").count() == 2 and out.where("doc_id = 4").first()["text"] is None
+    assert linededup.dedup(no_docs).count() == 0
+
+
+def test_line_dedup_plan_has_no_python(docs):
+    plan = linededup.without(docs, linededup.dropped_lines(docs))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "InArrow" not in plan and "InPandas" not in plan
+
+
+def test_embedding_dedup_equals_brute_force(spark):
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((12, 16))
+    rows = [(i, (base[i % 12] + 0.02 * (i % 3) * rng.standard_normal(16)).tolist(), i % 2) for i in range(90)]
+    rows += [(200, None, 1), (201, [0.0] * 16, 1), (202, [1.0, None] + [0.0] * 14, 1), (203, [float("nan")] * 16, 0), (204, base[0].tolist(), None), (205, (3 * base[0]).tolist(), 0), (206, [], 0), (207, [1.0, 2.0], 0), (None, base[0].tolist(), 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    ok = {i: (np.array(v), lab) for i, v, lab in rows if i is not None and v and lab is not None and None not in v and np.isfinite(v).all() and np.dot(v, v) > 0}
+    link = {i: {j for j in ok if i != j and ok[i][1] == ok[j][1] and len(ok[i][0]) == len(ok[j][0]) and ok[i][0] @ ok[j][0] / np.sqrt((ok[i][0] @ ok[i][0]) * (ok[j][0] @ ok[j][0])) >= 0.98} for i in ok}
+    comp = {i: i for i, _, _ in rows if i is not None}
+    for _ in range(100):
+        for i, js in link.items():
+            comp[i] = min([comp[i], *(comp[j] for j in js)])
+    want = sorted(((i, len(link.get(i, ())), comp.get(i), i is None or comp[i] == i) for i, _, _ in rows), key=repr)
+    for block in (1024, 16):
+        assert sorted_rows(embedding.near_duplicates(df, block=block)) == want
+    assert embedding.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_cover_tree_bounds_hold():
+    rng = np.random.default_rng(3)
+    c = rng.standard_normal((20, 8))
+    x = np.concatenate([c[i] + 0.01 * rng.standard_normal((40, 8)) for i in range(20)])
+    raw, x = x, x / np.sqrt((x * x).sum(1))[:, None]
+    t = embedding.CoverTree(x)
+    for lev in t.levels:
+        for a, b, m, r in zip(lev["start"], lev["stop"], lev["centre"], lev["radius"], strict=True):
+            assert np.sqrt(np.maximum(0, 2 - 2 * x[t.order[a:b]] @ x[m])).max() <= r
+    n, _, edges = embedding.traverse(t, t, raw, raw, 0.98)
+    assert (n == (x @ x.T >= 0.98).sum(1) - 1).all() and edges
+
+
+def test_suffix_dedup_equals_brute_force(spark, docs, no_docs):
+    assert sorted_rows(suffix.digest(docs)) == sorted(suffix.brute_force([r[:2] for r in edge_rows()]), key=repr)
+    assert suffix.digest(no_docs).count() == 0
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.text(alphabet="ab", max_size=90), min_size=1, max_size=12))
+def test_suffix_dedup_on_few_letters(spark, texts):
+    rows = [(i, t + texts[0]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted_rows(suffix.digest(df)) == sorted(suffix.brute_force(rows), key=repr)
+
+
+def brute_lm_base(rows):
+    low = hmm.LOWER_SPACE
+    train = [(t or "").encode().translate(low).split() for i, t, *_ in rows if i is not None and zlib.crc32(str(i).encode()) % 10]
+    c = Counter(w for t in train for w in t)
+    n, v = sum(c.values()) + len(train), len(c) + 1
+    out = []
+    for i, t, *_ in rows:
+        w = (t or "").encode().translate(low).split()
+        d = n + 0.1 * (v + 1)
+        out.append((i, len(w) + 1, sum(c[x] > 0 for x in w) + 1, n, round(sum(math.log10((c[x] + 0.1) / d) for x in w) + math.log10((len(train) + 0.1) / d), 6)))
+    return sorted(out, key=repr)
+
+
+def test_lm_counts_and_base(docs, no_docs):
+    got = hmm.score(docs).select("doc_id", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("b"))
+    assert sorted_rows(got) == brute_lm_base(edge_rows())
+    assert hmm.score(no_docs).count() == 0
+    alone = hmm.score(docs.where("doc_id is null")).collect()
+    assert {(r["train_tokens"], r["base_score"], r["n_known"]) for r in alone} == {(0, 0.0, 0)}
+
+
+def test_forward_is_exact_and_baum_welch_climbs():
+    rng = np.random.default_rng(4)
+    m = hmm.Model(np.array([0.6, 0.4]), np.array([[0.7, 0.3], [0.2, 0.8]]), rng.dirichlet(np.ones(5), 2).T)
+    seqs = [rng.integers(0, 5, n).astype(np.int32) for n in (1, 3, 5, 4)]
+    for s, got in zip(seqs, hmm.forward(m, seqs), strict=True):
+        p = 0.0
+        for path in itertools.product((0, 1), repeat=len(s)):
+            x = m.start[path[0]] * m.emit[s[0], path[0]]
+            for a, b, o in zip(path, path[1:], s[1:], strict=False):
+                x *= m.step[a, b] * m.emit[o, b]
+            p += x
+        assert got == pytest.approx(math.log10(p))
+    data = [rng.integers(0, 5, 30).astype(np.int32) for _ in range(20)]
+    last = -np.inf
+    for _ in range(6):
+        into = (np.zeros(2), np.zeros((2, 2)), np.zeros((5, 2)))
+        now = hmm.expect(m, data, into)
+        assert into[2].sum() == pytest.approx(600)
+        assert now >= last - 1e-6
+        last, m = now, hmm.maximise(m, *into, np.full(5, 0.2), mass=1e-9)
+
+
+def brute_minhash(rows):
+    sets = {}
+    for i, t, *_ in rows:
+        w = (t or "").encode().translate(minhash.LOWER_SPACE).split()
+        sets.setdefault(i, []).append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    comp = {i: i for i in sets}
+    for _ in range(5):
+        for i, j in itertools.permutations([i for i in sets if i is not None], 2):
+            if any(x and y and 100 * len(x & y) >= 75 * len(x | y) for x in sets[i] for y in sets[j]):
+                comp[i] = min(comp[i], comp[j])
+    seen = Counter()
+    out = []
+    for i, *_ in rows:
+        out.append((i, len(sets[i][seen[i]]), comp[i], i is None or comp[i] == i))
+        seen[i] += 1
+    return sorted(out, key=repr)
+
+
+def test_minhash_equals_brute_force(spark, docs, no_docs):
+    assert sorted_rows(minhash.near_duplicates(docs)) == brute_minhash(edge_rows())
+    assert minhash.near_duplicates(no_docs).count() == 0
+    words = prose(9, 100).split()
+    rows = [(i, " ".join(f"{w}{i}" if k == 3 * i % 100 else w for k, w in enumerate(words))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_minhash(rows)
+    for small in (64, 8):
+        assert sorted_rows(minhash.near_duplicates(df, small=small)) == want
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    for p in Path(SF).glob("*.parquet"):
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    df = registry.QUERIES[name](spark, SF)
+    res = con.execute(registry.ORACLES[name])
+    cols = [c[0] for c in res.description]
+    assert sorted(cols) == sorted(df.columns)
+    assert sorted_rows(df.select(*cols)) == sorted(res.fetchall(), key=repr)
