@@ -26,21 +26,18 @@ def lagged_correlation(wide: DataFrame, dims: list[str], max_lag: int, keys: tup
     by = Window.partitionBy(*keys).orderBy("t")
     n = len(dims)
     lead = wide.select(*keys, *(f"d{i}" for i in range(n)), *(F.lead(f"d{j}", k).over(by).alias(f"d{j}_{k}") for j in range(n) for k in range(1, max_lag + 1)))
-    aggs, cells = [], []
-    for i in range(n):
-        for j in range(n):
-            if i == j:
-                continue
-            for k in range(1, max_lag + 1):
-                x, y, name = F.col(f"d{i}"), F.col(f"d{j}_{k}"), f"{i}_{j}_{k}"
-                aggs += [
-                    F.covar_pop(x, y).alias(f"c{name}"), F.stddev_pop(F.when(y.isNotNull(), x)).alias(f"x{name}"), F.stddev_pop(F.when(x.isNotNull(), y)).alias(f"y{name}"),
-                    F.count(F.when(x.isNotNull() & y.isNotNull(), 1)).alias(f"n{name}"),
-                ]
-                c, sx, sy = F.col(f"c{name}"), F.col(f"x{name}"), F.col(f"y{name}")
-                r = F.when((F.col(f"n{name}") >= 2) & (sx > EPS) & (sy > EPS), F.abs(F.try_divide(c, sx * sy))).otherwise(0.0)
-                cells.append(F.struct(F.lit(dims[i]).alias("src"), F.lit(dims[j]).alias("dst"), F.lit(k).alias("lag"), r.alias("r")))
-    flat = (lead.groupBy(*keys) if keys else lead).agg(*aggs).select(*keys, F.explode(F.array(*cells)).alias("x")).select(*keys, "x.*")
+    cells = [
+        F.struct(F.lit(dims[i]).alias("src"), F.lit(dims[j]).alias("dst"), F.lit(k).alias("lag"), F.col(f"d{i}").alias("x"), F.col(f"d{j}_{k}").alias("y"))
+        for i in range(n) for j in range(n) if i != j for k in range(1, max_lag + 1)
+    ]
+    # Each wide row becomes its pairs in place; sums are combined before the shuffle, which moves one row per pair and task.
+    rows = lead.select(*keys, F.inline(F.array(*cells)))
+    both = F.col("x").isNotNull() & F.col("y").isNotNull()
+    sums = rows.groupBy(*keys, "src", "dst", "lag").agg(
+        F.covar_pop("x", "y").alias("c"), F.stddev_pop(F.when(both, F.col("x"))).alias("sx"), F.stddev_pop(F.when(both, F.col("y"))).alias("sy"), F.count(F.when(both, 1)).alias("n")
+    )
+    r = F.when((F.col("n") >= 2) & (F.col("sx") > EPS) & (F.col("sy") > EPS), F.abs(F.try_divide("c", F.col("sx") * F.col("sy")))).otherwise(0.0)
+    flat = sums.withColumn("r", r)
     best = flat.groupBy(*keys, "src", "dst").agg(F.max_by(F.struct("r", "lag"), F.struct("r", -F.col("lag"))).alias("b"))
     pairs = best.select(*keys, "src", "dst", F.col("b.r").alias("score"), F.when(F.col("b.r") > 0, F.col("b.lag")).otherwise(1).alias("lag"))
     diagonal = F.explode(F.array(*(F.lit(d) for d in dims))).alias("src")
@@ -79,6 +76,15 @@ def edges(scores: DataFrame, alpha: float = 0.05) -> DataFrame:
     )
 
 
+def directions(scores: DataFrame, confidence: float, least: float) -> DataFrame:
+    """src, dst, is_root, direction of pairs that score over `least`: p is at most 1 - confidence; the stronger side leads."""
+    back = scores.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("score").alias("back"))
+    pairs = scores.where((F.col("src") != F.col("dst")) & (F.col("score") > least)).join(back, ["src", "dst"])
+    leads = lambda a, b: F.concat(a, F.lit(" leads "), b)
+    label = F.when(F.col("score") > F.col("back"), leads(F.col("src"), F.col("dst"))).when(F.col("score") < F.col("back"), leads(F.col("dst"), F.col("src"))).otherwise("no direction")
+    return pairs.select("src", "dst", (F.col("p") <= F.lit(round(1 - confidence, 12))).alias("is_root"), label.alias("direction"))
+
+
 def influence_graph(scores: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Significant edges; if there are none, the pairs above the threshold, without p and lag."""
     good = edges(scores, alpha)

@@ -62,15 +62,14 @@ def analyse(signal: DataFrame, c: Config = Config()) -> dict[str, DataFrame]:
     flat = signal.select("series", "t", "v").join(one, "series", "left_semi")
     embedded = spectral.embed(flat, c.embedding, c.tau).select("series", F.posexplode("x").alias("dim", "v"), "t").select("series", "dim", "t", "v")
     wide = signal.join(one, "series", "left_anti").unionByName(embedded)
-    keyed = wide.select(F.struct("series", "dim").alias("series"), "t", "v")
-    found = resonances(keyed, c, (bounds["last"] or 0) + 1)
-    target = found.where("rank = 1 and freq > 0").select("series", F.col("freq").alias("f0"))
-    depths = dp.depth(keyed, c.window, c.fs, target)
-    split = lambda df: df.select("series.series", "series.dim", *(x for x in df.columns if x != "series"))
-    out = {
-        "resonances": split(found),
-        "depths": split(depths).withColumn("is_anomaly", F.col("depth") > c.threshold),
-    }
+    # The parts of a key travel as one text, as spectra know a single key.
+    keyed = wide.select(F.concat_ws("\0", F.col("dim").cast("string"), "series").alias("series"), "t", "v")
+    parts = F.split("series", "\0", 2)
+    split = lambda df: df.select(parts[1].alias("series"), parts[0].cast("int").alias("dim"), *(x for x in df.columns if x != "series"))
+    found = split(resonances(keyed, c, (bounds["last"] or 0) + 1))
+    target = found.where("rank = 1 and freq > 0").select("series", "dim", F.col("freq").alias("f0"))
+    depths = dp.depth_by_kernel(wide.withColumn("dim", F.col("dim").cast("int")), ["series", "dim"], c.window, c.fs, target)
+    out = {"resonances": found, "depths": depths.withColumn("is_anomaly", F.col("depth") > c.threshold)}
     out["beliefs"] = dp.belief(out["depths"], ["series"], "dim")
     n = max(bounds["dims"] or 0, c.embedding if one.limit(1).count() else 0)
     if c.multivariate and n > 1:
@@ -89,9 +88,9 @@ def sweep(signal: DataFrame, ms: list[int], taus: list[int], window: int) -> Dat
     for m in ms:
         for tau in taus:
             e = spectral.embed(signal, m, tau).select("series", F.posexplode("x").alias("dim", "v"), "t")
-            parts.append(e.select(F.struct("series", F.lit(m).alias("m"), F.lit(tau).alias("tau"), "dim").alias("series"), "t", "v"))
+            parts.append(e.withColumns({"m": F.lit(m), "tau": F.lit(tau)}))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    d = dp.depth(every, window)
-    return d.groupBy("series.series", "series.m", "series.tau").agg(F.avg("depth").alias("depth"))
+    d = dp.depth_by_kernel(every, ["series", "m", "tau", "dim"], window)
+    return d.groupBy("series", "m", "tau").agg(F.avg("depth").alias("depth"))

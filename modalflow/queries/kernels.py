@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from modalflow import views
 from modalflow.functions import generators
 from modalflow.functions.columns import rounded
-from modalflow.operators import prep
+from modalflow.operators import depth, prep
+from modalflow.operators import regulatory as rg
 from modalflow.operators import statespace as ss
 from modalflow.plans import engine
+from modalflow.sources import scans
 from modalflow.streaming import live
 
 QUERIES: dict = {}
@@ -99,6 +101,34 @@ def parameter_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.sweep(_orders(spark, sf_dir).drop("dim"), [2, 3], [1, 2], 48)
 
 
+@query
+def supervisory_recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depths of every institution of a generated panel, keyed and without a loop: cleaned differences, window of 48 quarters."""
+    panel = generators.supervisory_panel(spark)
+    ds = scans.from_frame(panel, "date", entity="institution_id", peer_group="peer_group", how="diff", sampling_rate=4.0)
+    return engine.analyse(ds.signal(), engine.Config(tau=2, fs=4.0, window=48, horizon=8, state_space=False, multivariate=False))["depths"]
+
+
+@query
+def policy_recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ds = scans.from_frame(generators.policy_frame(spark), "date", how="diff", sampling_rate=4.0)
+    return ss.bundle(ds.signal())
+
+
+@query
+def cockpit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated schedules of all banks through the shocks of both modes, in one plan."""
+    return rg.rate_shock(generators.schedule_panel(spark), [100.0, 200.0])
+
+
+@query
+def reproduction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recorded experiment: metric, value of the coupled oscillator's depth."""
+    x = generators.generate(spark.createDataFrame([("sample", "coupled_oscillator", 800, 42)], "series string, system string, n int, seed int")).where("dim = 0")
+    d = depth.depth_by_kernel(x, ["series"], 256, 200.0)
+    return d.unpivot(["series"], ["depth", "sc", "tp", "pc", "amp", "ci_lo", "ci_hi", "f0"], "metric", "value").drop("series")
+
+
 @query
 def two_tones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generators.two_tones(spark, 2000, 50.0).select("t", rounded("v", 6).alias("v"))

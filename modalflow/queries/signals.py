@@ -145,7 +145,7 @@ _DEPTH_SELECT = " SELECT series, " + ", ".join(f"round({c}, 4) AS {c}" for c in
 
 @query(views.with_views("eh") + "," + _DEPTH + _DEPTH_SELECT)
 def depth_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = depth.depth(views.hourly(spark, sf_dir), 256)
+    d = depth.depth_by_kernel(views.hourly(spark, sf_dir), ["series"], 256)
     return show(d, "series", depth=4, sc=4, tp=4, pc=4, amp=4, f0=4, legacy_std=4, ci_lo=4, ci_hi=4)
 
 
@@ -157,13 +157,13 @@ b AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0.5 AS DOUBLE) AS b UNION ALL
 SELECT round(b, 6) AS belief, b > 0.65 AS is_rooted FROM b WHERE i = (SELECT max(i) FROM o)"""
 )
 def belief_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = depth.belief(depth.depth(views.hourly(spark, sf_dir), 256), [], "series")
+    b = depth.belief(depth.depth_by_kernel(views.hourly(spark, sf_dir), ["series"], 256), [], "series")
     return b.select(rounded("belief", 6).alias("belief"), "is_rooted")
 
 
 @query(views.with_views("eh") + "," + _DEPTH + " SELECT series, round(depth, 4) AS depth, depth > 0.4 AS is_anomaly FROM dp")
 def anomaly_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = depth.depth(views.hourly(spark, sf_dir), 256)
+    d = depth.depth_by_kernel(views.hourly(spark, sf_dir), ["series"], 256)
     return d.select("series", rounded("depth").alias("depth"), (F.col("depth") > 0.4).alias("is_anomaly"))
 
 
@@ -234,6 +234,37 @@ def influence_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return show(rooting.influence_graph(p), "src", "dst", "lag", weight=6, p=6)
 
 
+@query(
+    _P + """ SELECT a.src, a.dst, a.p <= 0.35 AS is_root,
+  CASE WHEN a.score > b.score THEN a.src || ' leads ' || a.dst WHEN a.score < b.score THEN a.dst || ' leads ' || a.src ELSE 'no direction' END AS direction
+FROM pv a JOIN pv b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst AND a.score > 0.1"""
+)
+def root_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roots at the dashboard's confidence, and the stronger direction of each pair; weights of at most 0.1 are left out."""
+    p = rooting.surrogate_p(_scores(spark, sf_dir), views.daily(spark, sf_dir), dims(spark, sf_dir), 3, 19, 7)
+    return rooting.directions(p, 0.65, 0.1)
+
+
+@query(
+    views.with_views("eh") + "," + _WELCH + ", sp AS (SELECT * FROM ww)," + _PEAKS
+    + " SELECT series, count(*) AS peaks, round(avg(value) / min(mean), 4) AS depth FROM pk JOIN (SELECT series, avg(value) AS mean FROM sp GROUP BY 1) USING (series) GROUP BY 1"
+)
+def peak_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean density at the peaks over the mean density of all bins."""
+    psd = spectral.welch(spectral.segments(views.hourly(spark, sf_dir)), ["series"], 1.0)
+    mean = psd.groupBy("series").agg(F.avg("value").alias("mean"))
+    found = spectral.peaks(psd, 0.1, positive=True).join(mean, "series").groupBy("series")
+    return show(found.agg(F.count(F.lit(1)).alias("peaks"), (F.avg("value") / F.min("mean")).alias("depth")), "series", "peaks", depth=4)
+
+
+@query(
+    views.with_views("eh") + " SELECT series, CAST(t AS INT) AS t, round(v, 4) AS v FROM eh WHERE t % 8 = 0"
+)
+def plot_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plot data of long signals: every 8th step."""
+    return show(views.hourly(spark, sf_dir).where("pmod(t, 8) = 0"), "series", "t", v=4)
+
+
 @query(
     views.with_views("eh")
     + """, sp AS (SELECT series, min(v) AS lo, max(v) AS hi FROM eh GROUP BY 1),

@@ -52,6 +52,9 @@ class Live:
         """Ordered points into the window: (window, count, rows of the analyses that fell due)."""
         out: list[tuple] = []
         for p in points:
+            if p is None:  # a point without values starts the series anew
+                buf, n = [], 0
+                continue
             if len(p) != self.dims:
                 raise ValueError(f"a point has {len(p)} values; {self.dims} are expected")
             buf = [*buf[-(self.window - 1) :], list(p)] if self.window > 1 else [list(p)]
@@ -70,7 +73,7 @@ def stream(points: DataFrame, live: Live) -> DataFrame:
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         buf, n = state.get if state.exists else ([], 0)
         pdf = pd.concat(list(batches)).sort_values(["ts", "seq"])
-        buf, n, rows = live.feed(key[0], [list(b) for b in buf], int(n), [list(x) for x in pdf["x"]])
+        buf, n, rows = live.feed(key[0], [list(b) for b in buf], int(n), [None if x is None else list(x) for x in pdf["x"]])
         state.update(([[float(v) for v in b] for b in buf], n))
         yield pd.DataFrame(rows, columns=["series", "n", "dim", "f0", "depth", "is_anomaly", "error"])
 

@@ -9,6 +9,7 @@ def test_due_points():
     c = live.Live(window=5, stride=3)
     buf, n, out = c.feed("a", [], 0, [[float(i % 3)] for i in range(11)])
     assert [r[1] for r in out] == [5, 8, 11] and n == 11 and len(buf) == 5
+    assert c.feed("a", buf, n, [None, [1.0]])[:2] == ([[1.0]], 1)
     with pytest.raises(ValueError):
         live.Live(window=0)
     with pytest.raises(ValueError):
