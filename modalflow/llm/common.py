@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -40,7 +42,9 @@ class Scratch:
         if not base:
             if not spark.sparkContext.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            base = f"file://{tempfile.gettempdir()}/modalflow-scratch"
+            folder = tempfile.mkdtemp(prefix="modalflow-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            base = f"file://{folder}"
         self.paths: dict[int, tuple[DataFrame, str]] = {}
         self.root = f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
