@@ -74,9 +74,11 @@ def panel_tidy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return show(prep.melt(_panel(spark, sf_dir), IDS, METRICS), *IDS, "metric", value=4)
 
 
-@query(views.with_views("nq") + ", " + _LONG + " SELECT institution, date, metric, round(value, 7) AS value FROM ml")
+@query(views.with_views("nq") + ", " + _LONG + " SELECT institution, date, metric, round(ln(1 + value), 6) AS log_value FROM ml")
 def panel_melt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return show(prep.melt(views.nation_panel(spark, sf_dir), IDS, METRICS), "institution", "date", "metric", value=7)
+    """Logarithms, as plain sums of cents have exact ties that two engines round apart."""
+    m = prep.melt(views.nation_panel(spark, sf_dir), IDS, METRICS)
+    return show(m.withColumn("log_value", F.log(1 + F.col("value"))), "institution", "date", "metric", log_value=6)
 
 
 @query(views.with_views("nq") + _PANEL + " SELECT peer_group, date, metric, round(avg(value), 4) AS value FROM pn GROUP BY 1, 2, 3")
@@ -98,7 +100,7 @@ def first_appearance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    views.with_views("nq") + """ SELECT count(*) AS rows_before, count(DISTINCT institution) AS institution_count, count(*) FILTER (mean_price IS NOT NULL) AS rows_after, 'level' AS transform, 'sql_query' AS source FROM nq"""
+    views.with_views("nq") + """ SELECT count(*) AS rows_before, count(DISTINCT institution) AS institution_count, count(*) FILTER (institution IN (SELECT institution FROM nq GROUP BY 1 HAVING count(order_total) > 0 AND count(mean_price) > 0 AND count(mean_discount) > 0)) AS rows_after, 'level' AS transform, 'sql_query' AS source FROM nq"""
 )
 def panel_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.provenance(views.nation_panel(spark, sf_dir), _panel(spark, sf_dir), "institution", "level", "sql_query")
