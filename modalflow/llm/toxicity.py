@@ -223,8 +223,12 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = 8000) -> Model:
     posterior = label_model(binary, np.where(distinct >= 2, 0.9, np.where(distinct >= 1, 0.3, 0.02)))
     weights, bias = _logistic(x, posterior, l2=0.5)
     raw_score = x @ weights + bias
-    scale, shift = _logistic(raw_score[:, None], y, l2=1e-3)
-    return Model(lexicon, weights * scale[0], bias * scale[0] + shift)
+    # The scale, and what two, three or no distinct hits are worth, come from the labels themselves.
+    marks = [x.shape[1] - 3, x.shape[1] - 2, x.shape[1] - 1]
+    scale, shift = _logistic(np.column_stack([raw_score, x[:, marks]]), y, l2=0.05)
+    weights = weights * scale[0]
+    weights[marks] += scale[1:]
+    return Model(lexicon, weights, bias * scale[0] + shift)
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
