@@ -172,7 +172,7 @@ def profile(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(_profile, "doc_id long, n_shingles long, key binary, sig binary")
 
 
-def near_duplicates(documents: DataFrame, small: int = 64) -> DataFrame:
+def near_duplicates(documents: DataFrame, small: int = 32) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of `documents`."""
     scratch = Scratch(documents.sparkSession)
     rows = scratch.save(profile(documents), "profile")
@@ -186,8 +186,11 @@ def near_duplicates(documents: DataFrame, small: int = 64) -> DataFrame:
     heads = region.groupBy("ord", "key").agg(F.min("rep").alias("leader"), F.max("rep").alias("most")).where("leader < most")
     member = scratch.save(region.join(heads.select("ord", "key", "leader"), ["ord", "key"]), "member")
     scratch.free(region)
+    # The texts that any candidate needs, shuffled once. The ids are joined in sorted order at every size, as they grow with the texts.
+    ids = member.select(F.col("rep").alias("doc_id")).distinct().hint("merge")
+    texts = scratch.save(docs.join(ids, "doc_id", "left_semi"), "texts")
     first = scratch.save(member.where("rep > leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    links = scratch.save(confirmed(first, _needed(docs, first)), "links")
+    links = scratch.save(confirmed(first, texts), "links")
     comps = connected_components(links, scratch)
 
     labelled = scratch.save(
@@ -206,7 +209,7 @@ def near_duplicates(documents: DataFrame, small: int = 64) -> DataFrame:
         .join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
         .select("a", "b", "sig_a", "sig_b").mapInArrow(_resemble, "a long, b long"), "alike",
     )
-    more = scratch.save(confirmed(alike, _needed(docs, alike)), "links")
+    more = scratch.save(confirmed(alike, texts), "links")
     comps = connected_components(links.unionByName(more), scratch)
 
     of_key = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("comp", "rep").alias("component"))
@@ -217,11 +220,6 @@ def near_duplicates(documents: DataFrame, small: int = 64) -> DataFrame:
     )
 
 
-def _needed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    return docs.join(ids, "doc_id", "left_semi")
-
-
 def _adaptive(open_: DataFrame, classes: DataFrame, small: int, scratch: Scratch) -> DataFrame:
     """Candidates between components of a region, cut deeper where it holds more than `small` members."""
     found = []
