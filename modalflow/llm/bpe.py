@@ -25,6 +25,8 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from modalflow.llm.common import parts as in_parts
+
 CHUNK = 1 << 15
 OVERLAP = 1 << 10
 #: The pattern decides on a match from at most so many characters after its end.
@@ -70,7 +72,7 @@ def _ids(codec: Codec, text: str) -> bytes:
 def encode(
     documents: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP
 ) -> DataFrame:
-    """row_id (any), doc_id, ids: the token ids of each row's text as little-endian uint32 bytes.
+    """doc_id, ids: the token ids of each row's text as little-endian uint32 bytes.
 
     `overlap` is at least twice LOOKAHEAD and less than `chunk`. The memory of a task is
     bounded by one text and its ids.
@@ -82,7 +84,7 @@ def encode(
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(ranks_path, pattern)
-        for b in batches:
+        for b in in_parts(batches):
             ids = [_ids(codec, t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
@@ -166,7 +168,7 @@ def decode(coded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(ranks_path, pattern)
-        for b in batches:
+        for b in in_parts(batches):
             out = [codec.decode(np.frombuffer(x, "<u4").tolist()) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
 

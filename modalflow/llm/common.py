@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,6 +98,13 @@ def labelled_sample(
     return got["doc_id"].tolist(), got["text"].tolist(), got["y"].to_numpy(dtype=float)
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches in parts, which bounds what a worker holds beside its input."""
+    for b in batches:
+        for s in range(0, b.num_rows, rows):
+            yield b.slice(s, rows)
+
+
 def blocks(texts: list[bytes], most: int = BLOCK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of texts of about `most` bytes together, with the index of the first."""
     start = size = 0

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modalflow.llm.common import LOWER_ALNUM, crc_mod, labelled_sample
+from modalflow.llm.common import LOWER_ALNUM, crc_mod, labelled_sample, parts
 
 MODULUS, HELD_OUT = 5, 0
 PREFIXES = (4, 6)
@@ -236,7 +236,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = len(model.lexicon) + len(PATTERNS)
-        for b in batches:
+        for b in parts(batches):
             v = votes([(t or "").encode() for t in b.column("text").to_pylist()], model.lexicon)
             n = np.rint(np.expm1(v[:, at])).astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.score(v)), pa.array(n)], ["doc_id", "score", "n_hits"])
@@ -258,7 +258,7 @@ def clean(documents: DataFrame, model: Model) -> DataFrame:
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             v = votes([(t or "").encode() for t in b.column(at).to_pylist()], model.lexicon)
             yield b.filter(pa.array(model.score(v) < 0.5))
 
