@@ -88,8 +88,8 @@ class Block:
 
 
 def _print16(h: np.ndarray, ok: np.ndarray) -> np.ndarray:
-    """16-bit fingerprints; 0 where there is nothing to share."""
-    return np.where(ok, (h >> np.uint64(48)).astype(np.uint16) | np.uint16(1), np.uint16(0))
+    """16-bit fingerprints; 0 where there is nothing to share. They and the short keys only choose where to look closer."""
+    return np.where(ok, np.maximum((h >> np.uint64(48)).astype(np.uint16), np.uint16(1)), np.uint16(0))
 
 
 def _first_of(key: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,6 +105,15 @@ def _first_of(key: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.nd
     return least, order
 
 
+#: Columns that travel as differences from one entry of a bucket to the next.
+DELTAS = ("doc", "pos")
+
+
+def _entries(name: str, raw: bytes, kind) -> np.ndarray:
+    v = np.frombuffer(raw, kind)
+    return np.cumsum(v.view(v.dtype.str.replace("u", "i")), dtype=v.dtype) if name in DELTAS else v
+
+
 def _deal(bucket: np.ndarray, columns: dict[str, np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
     """One row per bucket, each column as bytes."""
     order = np.argsort(bucket, kind="stable")
@@ -113,6 +122,11 @@ def _deal(bucket: np.ndarray, columns: dict[str, np.ndarray], schema: pa.Schema)
     rows: dict[str, list] = {"bucket": [int(b[i]) for i in cut[:-1]]}
     for name, v in columns.items():
         v = v[order]
+        if name in DELTAS:  # small numbers, which the shuffle's codec packs
+            v = v.astype(np.int64 if name == "doc" else np.int32)
+            step = np.diff(v, prepend=0)
+            step[cut[:-1]] = v[cut[:-1]]
+            v = step.astype(v.dtype)
         rows[name] = [v[s:e].tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(rows.get(f.name, [None] * len(rows["bucket"])), f.type) for f in schema], schema=schema)
 
@@ -153,7 +167,7 @@ def _sample(n_buckets: int, n_groups: int, length: int):
                 least, _ = _first_of([key, rank], doc)
                 yield from _settled(doc[doc > least], pos[doc > least], n_groups)
                 go = doc == least
-                yield _put(1, _deal((key[go] % np.uint64(n_buckets)).astype(np.int64), {"key": key[go], "rank": rank[go], "side": side[go], "doc": doc[go], "pos": pos[go]}, _SCHEMA))
+                yield _put(1, _deal((key[go] % np.uint64(n_buckets)).astype(np.int64), {"key": (key[go] >> np.uint64(32)).astype(np.uint32), "rank": (rank[go] >> np.uint64(32)).astype(np.uint32), "side": np.column_stack([side[go], (rank[go] & np.uint64(0xFFFF)).astype(np.uint16)]), "doc": doc[go], "pos": pos[go]}, _SCHEMA))
 
     return run
 
@@ -177,7 +191,7 @@ def _buckets(batches: Iterator[pa.RecordBatch], kind: int, columns: dict[str, tu
     now = None
 
     def out() -> dict[str, np.ndarray]:
-        return {c: np.concatenate([np.frombuffer(h[c], t).reshape(-1, *s) if s else np.frombuffer(h[c], t) for h in held]) for c, (t, *s) in columns.items()}
+        return {c: np.concatenate([_entries(c, h[c], t).reshape(-1, *s) for h in held]) for c, (t, *s) in columns.items()}
 
     for b in batches:
         own = pc.equal(b.column("kind"), kind)
@@ -197,12 +211,13 @@ def _sort_samples(n_groups: int):
     """Samples of a bucket to repeats (kind 2) and to the ends of passages (kind 3: side tells which strings to look at)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in _buckets(batches, 1, {"key": (np.uint64,), "rank": (np.uint64,), "side": (np.uint16, 2), "doc": (np.int64,), "pos": (np.uint32,)}):
+        for x in _buckets(batches, 1, {"key": (np.uint32,), "rank": (np.uint32,), "side": (np.uint16, 3), "doc": (np.int64,), "pos": (np.uint32,)}):
             if isinstance(x, pa.RecordBatch):
                 yield x
                 continue
-            key, rank, doc = x["key"], x["rank"], x["doc"]
-            least, _ = _first_of([key, rank], doc)
+            # 48 bits of the rank travel; with the key's 32 and the bucket they tell strings apart.
+            key, doc = x["key"], x["doc"]
+            least, _ = _first_of([key, x["rank"], x["side"][:, 2]], doc)
             yield from _settled(doc[doc > least], x["pos"][doc > least], n_groups)
             open_ = np.flatnonzero(doc == least)
             look = np.zeros(len(open_), np.uint8)
@@ -258,8 +273,8 @@ def _strings(n_buckets: int, n_groups: int, length: int):
                     yield from out()
                     wanted, now, size = {}, r["bucket"], 0
                 if r["kind"] == 3:
-                    doc = np.frombuffer(r["doc"], np.int64)
-                    pos, side = np.frombuffer(r["pos"], np.uint32), np.frombuffer(r["side"], np.uint8)
+                    doc = _entries("doc", r["doc"], np.int64)
+                    pos, side = _entries("pos", r["pos"], np.uint32), np.frombuffer(r["side"], np.uint8)
                     order = np.argsort(doc, kind="stable")
                     d = doc[order]
                     cut = np.flatnonzero(np.diff(d, prepend=d[0] - 1, append=d[-1] + 1))
@@ -302,7 +317,7 @@ def _cut(length: int):
                 if r["bucket"] != now:
                     places, now = {}, r["bucket"]
                 if r["kind"] != 9:
-                    doc, pos = np.frombuffer(r["doc"], np.int64), np.frombuffer(r["pos"], np.uint32)
+                    doc, pos = _entries("doc", r["doc"], np.int64), _entries("pos", r["pos"], np.uint32)
                     order = np.argsort(doc, kind="stable")
                     d = doc[order]
                     cut = np.flatnonzero(np.diff(d, prepend=d[0] - 1, append=d[-1] + 1))
