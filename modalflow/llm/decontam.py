@@ -72,9 +72,9 @@ def _scanner(items: list[tuple[str, str]], window: int):
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [])
             for text in b.column("text").to_pylist():
-                raw = (text or "").encode().translate(LOWER_ALNUM).decode("latin-1")
-                w = raw.split()
-                line = f" {' '.join(w)} "
+                raw = (text or "").encode().translate(LOWER_ALNUM)
+                w = raw.split()  # of bytes, which keeps 0x85 and 0xA0
+                line = f" {b' '.join(w).decode('latin-1')} "
                 found = list(automaton.iter(line)) if some and w else []
                 hits, spans, ids = [], [], []
                 if found:
@@ -85,7 +85,7 @@ def _scanner(items: list[tuple[str, str]], window: int):
                         k = int(np.searchsorted(blank, end))
                         hit[k - n : k] = True
                         named.update(of)
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], (np.frombuffer(raw.encode("latin-1"), np.uint8) != 32).view(np.int8), [0]])))
+                    edge = np.flatnonzero(np.diff(np.concatenate([[0], (np.frombuffer(raw, np.uint8) != 32).view(np.int8), [0]])))
                     runs = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
                     spans = [{"start": int(edge[2 * s]), "stop": int(edge[2 * e - 1])} for s, e in zip(runs[::2], runs[1::2], strict=True)]
                     hits, ids = np.flatnonzero(hit).tolist(), sorted(named)

@@ -90,6 +90,24 @@ def test_decontamination_equals_brute_force(spark, docs, no_docs):
     assert decontam.clean(docs, bench).columns == docs.columns
 
 
+def test_decontamination_keeps_all_bytes_of_a_word(spark):
+    passage = "voilà à Århus хлеб Рим мир 中文 酠 date\u00a0limite déjà vu là où РОССИЯ"
+    rows = [(1, f"Отрывок: {passage}, fin"), (2, passage.replace("à", "a")), (3, "х Р à \u00a0 \u0085 酠"), (4, "À " * 30)]
+    items = [(1, passage), (2, "х Р à"), (3, "酠")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = decontam.find(docs, bench)
+    assert sorted_rows(decontam.digest(found)) == brute_decontam(rows, items)
+    span = found.where("doc_id = 1").first()["spans"][0]
+    assert rows[0][1].encode()[span["start"] : span["stop"]].decode() == passage
+    con = duckdb.connect()
+    for name, data in (("documents(doc_id BIGINT, text VARCHAR)", rows), ("benchmark(item_id BIGINT, text VARCHAR)", items)):
+        con.execute(f"CREATE TABLE {name}")
+        con.executemany(f"INSERT INTO {name.split('(')[0]} VALUES (?, ?)", data)
+    res = con.execute(decontam.ORACLE)
+    cols = [c[0] for c in res.description]
+    assert sorted_rows(decontam.digest(found).select(*cols)) == sorted(res.fetchall(), key=repr)
+
+
 def test_decontamination_in_blocks_is_the_same(spark, docs):
     bench = spark.createDataFrame([(i, prose(1, 120)[i * 10 : i * 10 + 200]) for i in range(6)], "item_id long, text string")
     unique = docs.dropDuplicates(["doc_id"]).where("doc_id is not null")
