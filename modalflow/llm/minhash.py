@@ -7,12 +7,14 @@ each order sorts the classes into a prefix tree. Classes that share the first fo
 values of an order form a region:
 
 * each member is a candidate with the region's smallest id (its leader);
-* where members of a region are still in different components after that, the
-  region is cut at the least depth that leaves at most `small` members, and all
-  members there that are not yet connected are candidates of one another; in regions
-  that are larger, members are candidates with the first and the last at each depth.
-
-So a region of near copies, however large, costs rows in proportion to its members.
+* where members of a region are still in different components after that, all pairs of
+  members of different components are candidates, if the region has at most `small`
+  members. In larger regions blocks of members are compared by their signatures: first
+  each member's nearest one of another component is a candidate, and then, where
+  components are still left, every pair that agrees often enough.
+
+So a region of near copies, however large, costs rows in proportion to its members; one
+of many sets that are much alike but not linked costs a row for each pair of them.
 Two sets of similarity 0.75 miss each other in all 32 orders with probability
 (1 - 0.75 ** 4) ** 32, 5e-6. Every candidate is confirmed on the full sets.
 
@@ -38,7 +40,10 @@ from modalflow.llm.components import connected_components
 N_HASHES, ORDERS, LEAD = 128, 32, 4
 SHINGLE = 5
 PERCENT = 75
-DEPTHS = (4, 6, 8, 12, 16, 24)
+#: Of the 128 values, so many agree at a similarity of 0.75 but for about once in 200,000.
+AGREE = 71
+#: Members of a block: an eighth of the region between these bounds.
+BLOCK = (256, 2048)
 
 _rng = np.random.default_rng(20240101)
 _MUL = (_rng.integers(0, 1 << 32, N_HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -200,17 +205,31 @@ def near_duplicates(documents: DataFrame, small: int = 32) -> DataFrame:
     mixed = labelled.groupBy("ord", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
     open_ = scratch.save(labelled.join(mixed.select("ord", "key", "n"), ["ord", "key"]), "open")
     scratch.free(labelled)
-    second = _adaptive(open_, classes, small, scratch)
+    second = open_.where(F.col("n") <= small).select("ord", "key", "rep", "comp")
+    left, right = second.withColumnsRenamed({"rep": "a", "comp": "comp_a"}), second.withColumnsRenamed({"rep": "b", "comp": "comp_b"})
+    second = left.join(right, ["ord", "key"]).where("a < b and comp_a <> comp_b").select("a", "b").distinct()
     # The leader pairs are decided already.
     second = scratch.save(second.join(first, ["a", "b"], "left_anti"), "pairs")
     sig = classes.groupBy("rep").agg(F.min("sig").alias("sig"))
-    alike = scratch.save(
+    alike = (
         second.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a")
         .join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
-        .select("a", "b", "sig_a", "sig_b").mapInArrow(_resemble, "a long, b long"), "alike",
+        .select("a", "b", "sig_a", "sig_b").mapInArrow(_resemble, "a long, b long")
     )
-    more = scratch.save(confirmed(alike, texts), "links")
-    comps = connected_components(links.unionByName(more), scratch)
+    large = scratch.save(open_.where(F.col("n") > small).select("ord", "key", "rep", "comp"), "large")
+    crowded = large.limit(1).count() > 0
+    if crowded:
+        alike = alike.unionByName(_crowded(large, classes, True).join(first, ["a", "b"], "left_anti")).distinct()
+    alike = scratch.save(alike, "alike")
+    links = links.unionByName(scratch.save(confirmed(alike, texts), "links"))
+    comps = connected_components(links, scratch)
+    if crowded:
+        now = comps.withColumnRenamed("node", "rep")
+        large = scratch.save(large.select("ord", "key", "rep").join(now, "rep", "left").select("ord", "key", "rep", F.coalesce("comp", "rep").alias("comp")), "large")
+        tried = first.unionByName(alike)
+        rest = scratch.save(_crowded(large, classes, False).join(tried, ["a", "b"], "left_anti"), "rest")
+        if rest.limit(1).count():
+            comps = connected_components(links.unionByName(scratch.save(confirmed(rest, texts), "links")), scratch)
 
     of_key = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("comp", "rep").alias("component"))
     return (
@@ -220,31 +239,64 @@ def near_duplicates(documents: DataFrame, small: int = 32) -> DataFrame:
     )
 
 
-def _adaptive(open_: DataFrame, classes: DataFrame, small: int, scratch: Scratch) -> DataFrame:
-    """Candidates between components of a region, cut deeper where it holds more than `small` members."""
-    found = []
-    now = open_.select("ord", "key", "rep", "comp", "n")
-    for depth in DEPTHS[1:] + (None,):
-        here = now.where(F.col("n") <= small).select("ord", "key", "rep", "comp")
-        left = here.withColumnsRenamed({"rep": "a", "comp": "comp_a"})
-        right = here.withColumnsRenamed({"rep": "b", "comp": "comp_b"})
-        found.append(left.join(right, ["ord", "key"]).where("a < b and comp_a <> comp_b").select("a", "b"))
-        large = now.where(F.col("n") > small)
-        if depth is None or not large.limit(1).count():
-            break
-        # The first and the last member stand for a large region at this depth.
-        heads = large.groupBy("ord", "key").agg(F.min("rep").alias("a"), F.max("rep").alias("z"))
-        with_head = large.join(heads, ["ord", "key"])
-        found += [with_head.where("rep > a").select("a", F.col("rep").alias("b")), with_head.where("rep < z").select(F.col("rep").alias("a"), F.col("z").alias("b"))]
-        ids = large.select("rep").distinct()
-        deeper = regions(classes.join(ids, "rep", "left_semi"), depth)
-        inner = large.select("ord", "rep", "comp").join(deeper, ["ord", "rep"])
-        sizes = inner.groupBy("ord", "key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-        now = scratch.save(inner.join(sizes.select("ord", "key", "n"), ["ord", "key"]), "deeper")
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.distinct()
+def _crowded(large: DataFrame, classes: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of different components of a region that agree often enough; with
+    `nearest`, those that are the nearest of a member in its cell.
+
+    The largest component of a region and the other members are dealt into blocks; a
+    cell holds two blocks, and no cell is needed for two blocks of the largest component.
+    """
+    main = (
+        large.groupBy("ord", "key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("ord", "key")
+        .agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("n")).where("n > top.c")
+        .withColumn("size", F.least(F.lit(BLOCK[1]), F.greatest(F.lit(BLOCK[0]), F.col("n") / 8)))
+        .select("ord", "key", F.col("top.comp").alias("main"), F.ceil(F.col("top.c") / F.col("size")).cast("int").alias("m"), F.ceil((F.col("n") - F.col("top.c")) / F.col("size")).cast("int").alias("o"))
+    )
+    m, o, block = F.col("m"), F.col("o"), F.col("block")
+    others = F.transform(F.sequence(m, m + o - 1), lambda j: F.struct(F.least(block, j).alias("x"), F.greatest(block, j).alias("y")))
+    mains = F.transform(F.sequence(F.lit(0), m - 1), lambda i: F.struct(i.alias("x"), block.alias("y")))
+    cells = (
+        large.join(main, ["ord", "key"])
+        .withColumn("block", F.when(F.col("comp") == F.col("main"), F.pmod(F.xxhash64("rep"), m)).otherwise(m + F.pmod(F.xxhash64("rep"), o)).cast("int"))
+        .withColumn("cells", F.when(block < m, others).otherwise(F.concat(mains, others)))
+        .groupBy("rep").agg(F.collect_list(F.struct("ord", "key", "comp", "block", "cells")).alias("of"))
+    )
+    # The signatures meet each class once, by one byte a value.
+    rows = (
+        cells.join(classes.select("rep", "sig"), "rep").mapInArrow(_bytes, "rep long, sig binary, of " + cells.schema["of"].dataType.simpleString())
+        .select("rep", "sig", F.explode("of").alias("of")).select("rep", "sig", "of.*")
+        .select("rep", "sig", "ord", "key", "comp", "block", F.explode("cells").alias("cell")).select("rep", "sig", "ord", "key", "comp", "block", "cell.*")
+    )
+    return rows.groupBy("ord", "key", "x", "y").applyInArrow(_compare(nearest), "a long, b long").distinct()
+
+
+def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The low byte of each MinHash value: what agrees in full agrees here."""
+    for b in batches:
+        if b.num_rows:
+            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, N_HASHES).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array([s.tobytes() for s in sig], pa.binary()), b.column("of")], ["rep", "sig", "of"])
+
+
+def _compare(nearest: bool):
+    def run(t: pa.Table) -> pa.Table:
+        rep, comp, block, x = (t.column(c).to_numpy() for c in ("rep", "comp", "block", "x"))
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, N_HASHES)
+        left, right = np.flatnonzero(block == x), np.flatnonzero(block == t.column("y").to_numpy())
+        u, v = np.ascontiguousarray(sig[left].T), np.ascontiguousarray(sig[right].T)
+        agree = np.zeros((len(left), len(right)), np.uint8)
+        for k in range(N_HASHES):
+            agree += u[k][:, None] == v[k]
+        agree[comp[left][:, None] == comp[right]] = 0
+        i, j = np.nonzero(agree >= AGREE)
+        if nearest and len(i):
+            best = (agree.argmax(1)[i] == j) | (agree.argmax(0)[j] == i)
+            i, j = i[best], j[best]
+        p, q = rep[left[i]], rep[right[j]]
+        once = np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)]), axis=1)
+        return pa.table({"a": pa.array(once[0], pa.int64()), "b": pa.array(once[1], pa.int64())})
+
+    return run
 
 
 def keep_first(documents: DataFrame, **kw) -> DataFrame:

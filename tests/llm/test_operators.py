@@ -314,6 +314,26 @@ def test_minhash_equals_brute_force(spark, docs, no_docs):
         assert sorted_rows(minhash.near_duplicates(df, small=small)) == want
 
 
+def test_minhash_finds_all_links_of_a_crowded_region(spark):
+    """Sets alike but not linked, among them pairs that share nothing the others do not."""
+    words, r, rows = prose(21, 300).split(), np.random.default_rng(5), []
+    words = [f"{w}{k}" for k, w in enumerate(words)]
+    for i in range(400):
+        if i % 2 == 0:
+            places = set((r.choice(36, 8, replace=False) * 8 + r.integers(0, 3, 8) + 4).tolist())
+        rows.append((i, " ".join(f"{w}x{i}" if k in places else w for k, w in enumerate(words))))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    near = [(a, b) for a, b in itertools.combinations(range(400), 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    comp = list(range(400))
+    for _ in range(20):
+        for a, b in near:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    assert len(near) >= 200 and len(set(comp)) > 150
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()}
+    assert got == dict(enumerate(comp))
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
