@@ -4,7 +4,7 @@ import hashlib
 
 import public_tokenizers
 import pytest
-from test_operators import brute_decontam, brute_lines, brute_minhash
+from test_llm_operators import brute_decontam, brute_lines, brute_minhash
 
 import corpus_pipeline
 from modalflow.llm import bpe, registry, toxicity
