@@ -2,34 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modalflow.llm.common import Scratch
 
+#: Tasks that share the partners of one node.
+SALTS = 8
+
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, comp (smallest node of its component) for every node of edges(a, b).
 
     Each round takes the smallest label among a node and its neighbours, then the label
     of its label (pointer jumping), so the number of rounds grows with the logarithm of
-    a component's diameter. Minima are combined before the shuffle, so a node with many
-    neighbours is no hot spot; only the number of changed labels reaches the driver.
+    a component's diameter. Minima are combined before the shuffle. A node of very many
+    neighbours, or the label of very many nodes, is dealt over SALTS tasks by its
+    partners; its own label goes to each of them. Only the number of changed labels
+    reaches the driver.
     """
     pairs = edges.select("a", "b").where("a <> b")
     both = scratch.save(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = scratch.save(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "node"), "labels")
+    labels = scratch.save(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).select(F.col("a").alias("node"), "comp"), "labels")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     while True:
-        near = (
-            both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("comp").alias("near"))
-        )
-        lower = scratch.save(
-            labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp")), "lower"
+        sent = labels.select(F.col("node").alias("b"), "comp", salts)
+        near = both.select("a", "b", _salt("a")).join(sent, ["b", "salt"]).groupBy("a").agg(F.min("comp").alias("near"))
+        lower = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
+        # Only a node that is a label is asked for its own one.
+        jump = lower.select(F.col("node").alias("comp"), F.col("comp").alias("next")).join(lower.select("comp").distinct(), "comp", "left_semi").select("comp", "next", salts)
+        new = scratch.save(
+            lower.select("node", "old", "comp", _salt("node")).join(jump, ["comp", "salt"]).select("node", "old", F.least("comp", "next").alias("comp")), "labels"
         )
-        jump = lower.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
-        new = scratch.save(lower.join(jump, "comp").select("node", "old", F.least("comp", "next").alias("comp")), "labels")
-        scratch.free(lower, labels)
+        scratch.free(labels)
         labels = new
         if not new.where("old <> comp").limit(1).count():
             scratch.free(both)
             return labels.select("node", "comp")
+
+
+def _salt(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int").alias("salt")

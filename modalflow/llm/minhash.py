@@ -2,21 +2,25 @@
 
 A document's set holds its distinct five-word shingles, as 64-bit hashes. Documents
 of equal word sequences form one class, so copies cost one row each. A class has 128
-MinHash values, which stand in 32 different orders (four more values lead each time);
-each order sorts the classes into a prefix tree. Classes that share the first four
-values of an order form a region:
-
-* each member is a candidate with the region's smallest id (its leader);
-* where members of a region are still in different components after that, all pairs of
-  members of different components are candidates, if the region has at most `small`
-  members. In larger regions blocks of members are compared by their signatures: first
-  each member's nearest one of another component is a candidate, and then, where
-  components are still left, every pair that agrees often enough.
-
-So a region of near copies, however large, costs rows in proportion to its members; one
-of many sets that are much alike but not linked costs a row for each pair of them.
+MinHash values, of which each of 32 orders takes twelve, beginning with four of its
+own. Each order is sorted as a whole: ranges of the sorted rows are the tasks, so a
+region (classes that share the first four values), however large, is split among many.
+
+1. Longest-common-prefix neighbours. The rows next to a class in an order share the
+   longest prefix with it: up to twelve values deep in a crowded region, four in a
+   sparse one. The NEAR neighbours of the deepest prefixes, over all orders, are a
+   class's first candidates, which joins groups of near copies at a cost in proportion
+   to their members.
+2. The rest, without loss. Where a region still holds members of several components,
+   all pairs of different components are compared by their 128 values, in blocks of
+   members; a pair counts in the first order that it shares. Members that resemble
+   another component's take their full sets to the same blocks, and are confirmed there.
+
+So pairs never travel, only members. A region of many sets that are much alike but not
+linked still costs a comparison for each pair of them, in blocks that many tasks share.
 Two sets of similarity 0.75 miss each other in all 32 orders with probability
-(1 - 0.75 ** 4) ** 32, 5e-6. Every candidate is confirmed on the full sets.
+(1 - 0.75 ** 4) ** 32, 5e-6, and agree in fewer than 71 of 128 values about as rarely.
+Every link is confirmed on the full sets.
 
 Defined results: a null text or one without words is linked with nothing; with fewer
 than five words the sequence is the one shingle; rows that share a doc_id are one
@@ -27,6 +31,7 @@ has a null component and is kept; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,16 +39,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modalflow.llm.common import LOWER_SPACE, Scratch, blocks, mix64, prefix_hash, span_hash, word_block
+from modalflow.llm.common import LOWER_SPACE, Scratch, blocks, mix64, parts, prefix_hash, span_hash, word_block
 from modalflow.llm.components import connected_components
 
 N_HASHES, ORDERS, LEAD = 128, 32, 4
 SHINGLE = 5
 PERCENT = 75
+#: Values of an order that follow its lead and tell how deep neighbours agree.
+TAIL = 8
+#: First candidates of a class.
+NEAR = 3
 #: Of the 128 values, so many agree at a similarity of 0.75 but for about once in 200,000.
 AGREE = 71
-#: Members of a block: an eighth of the region between these bounds.
-BLOCK = (256, 2048)
+#: Members of a block: an eighth of the region between these bounds, and about so many bytes.
+BLOCK, BLOCK_SETS = (256, 2048), 8 << 20
+#: Tasks that share the members of one region in a join.
+SALTS = 8
 
 _rng = np.random.default_rng(20240101)
 _MUL = (_rng.integers(0, 1 << 32, N_HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -80,12 +91,16 @@ def signatures(h: np.ndarray, shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def prefix_keys(sig: np.ndarray, depth: int) -> np.ndarray:
-    """Key of the first `depth` values in each order, one column per order."""
-    key = np.zeros((len(sig), ORDERS), np.uint64)
-    for d in range(depth):
-        key = mix64(key * _STEP + sig[:, (LEAD * np.arange(ORDERS) + d) % N_HASHES].astype(np.uint64))
-    return key.view(np.int64)
+def sort_keys(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lead, tail) of each class (row) in each order (column): the first four values, 16 bits each, and the next eight, 8 bits each."""
+    v = sig.astype(np.uint64)
+    at = LEAD * np.arange(ORDERS)
+    lead, tail = np.zeros((2, len(sig), ORDERS), np.uint64)
+    for d in range(LEAD):
+        lead = lead << np.uint64(16) | v[:, (at + d) % N_HASHES] & np.uint64(0xFFFF)
+    for d in range(LEAD, LEAD + TAIL):
+        tail = tail << np.uint64(8) | v[:, (at + d) % N_HASHES] & np.uint64(0xFF)
+    return lead.view(np.int64), tail.view(np.int64)
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,35 +124,100 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _deal(depth: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, N_HASHES)
-            keys = prefix_keys(sig, depth)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("rep"), pa.array(list(keys), pa.list_(pa.int64()))], ["rep", "keys"]
-            )
-
-    return run
+def _signatures(column: pa.Array, kind=np.uint32) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, N_HASHES)
 
 
-def regions(classes: DataFrame, depth: int) -> DataFrame:
-    """ord, key, rep: the region of each class in each order."""
-    return (
-        classes.select("rep", "sig").mapInArrow(_deal(depth), "rep long, keys array<long>")
-        .select("rep", F.posexplode("keys").alias("ord", "key"))
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in parts(batches):
+        if b.num_rows:
+            lead, tail = sort_keys(_signatures(b.column("sig")))
+            rep = np.repeat(b.column("rep").to_numpy(), ORDERS)
+            ord_ = np.tile(np.arange(ORDERS, dtype=np.int32), len(lead))
+            yield pa.RecordBatch.from_arrays([pa.array(ord_), pa.array(lead.ravel()), pa.array(tail.ravel()), pa.array(rep)], ["ord", "lead", "tail", "rep"])
+
+
+def _depth(tail: np.ndarray) -> np.ndarray:
+    """Values that adjacent rows of one lead share."""
+    x = (tail[1:] ^ tail[:-1]).view(np.uint64)
+    return LEAD + sum(((x >> np.uint64(64 - 8 * k)) == 0 for k in range(1, TAIL)), np.zeros(len(x), np.int32)) + (x == 0)
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the sorted rows of one task, those that share their lead with a neighbour, and the task's first and last row."""
+
+    def out(ord_, lead, tail, rep, first, last) -> pa.RecordBatch:
+        same = (ord_[1:] == ord_[:-1]) & (lead[1:] == lead[:-1])
+        depth = np.where(same, _depth(tail), 0)
+        before, after = np.concatenate([[0], depth]), np.concatenate([depth, [0]])
+        keep = (before > 0) | (after > 0)
+        keep[0] |= first
+        keep[-1] |= last
+        lo, hi = (0 if first else 1), (len(rep) if last else len(rep) - 1)
+        keep[:lo] = keep[hi:] = False
+        prev, nxt = np.concatenate([rep[:1], rep[:-1]]), np.concatenate([rep[1:], rep[-1:]])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(v[keep]) for v in (ord_, lead, rep, prev, before.astype(np.int32), nxt, after.astype(np.int32))],
+            ["ord", "lead", "rep", "prev", "prev_depth", "next", "next_depth"],
+        )
+
+    held: list[np.ndarray] | None = None
+    first = True
+    for b in batches:
+        if not b.num_rows:
+            continue
+        new = [b.column(c).to_numpy() for c in ("ord", "lead", "tail", "rep")]
+        if held is not None:
+            # The last two rows of what came before: one that lacks its next neighbour, and its previous one.
+            new = [np.concatenate([h, v]) for h, v in zip(held, new, strict=True)]
+        if len(new[0]) > 1:
+            yield out(*new, first, False)
+            first = False
+            held = [v[-2:] for v in new]
+        else:
+            held = new
+    if held is not None:
+        yield out(*held, first, True)
+
+
+def regions(classes: DataFrame) -> DataFrame:
+    """ord, lead, rep and its neighbours in the sorted order with the depths of the prefixes that they share."""
+    rows = classes.select("rep", "sig").mapInArrow(_deal, "ord int, lead long, tail long, rep long")
+    by = ["ord", "lead", "tail", "rep"]
+    return rows.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(
+        _neighbours, "ord int, lead long, rep long, prev long, prev_depth int, next long, next_depth int"
     )
 
 
 def _resemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose signatures agree often enough: 0.55 misses a similarity of 0.75 about once in 200,000."""
-    for b in batches:
+    """Pairs whose signatures agree often enough."""
+    for b in parts(batches):
         if b.num_rows:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, N_HASHES) for c in ("sig_a", "sig_b"))
-            keep = (x == y).mean(1) >= 0.55
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep)), b.column("b").filter(pa.array(keep))], ["a", "b"])
+            keep = (_signatures(b.column("sig_a"), np.uint16) == _signatures(b.column("sig_b"), np.uint16)).sum(1) >= AGREE
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The low 16 bits of each MinHash value: what agrees in full agrees here."""
+    for b in parts(batches):
+        if b.num_rows:
+            sig = _signatures(b.column("sig")).astype(np.uint16)
+            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("n"), pa.array([s.tobytes() for s in sig], pa.binary())], ["rep", "n", "sig"])
+
+
+def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sketch and full set (sorted 64-bit hashes) of each text that has words."""
+    for b in parts(batches):
+        texts = [t.encode() for t in b.column("text").to_pylist()]
+        for at, part in blocks(texts):
+            h, n = shingle_block(part)
+            some = np.flatnonzero(n)
+            if len(some):
+                sig = signatures(h, n).astype(np.uint16)
+                sets = [np.unique(x).tobytes() for x in np.split(h, np.cumsum(n)[:-1]) if len(x)]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("rep").take(pa.array(at + some)), pa.array([s.tobytes() for s in sig], pa.binary()), pa.array(sets, pa.binary())], ["rep", "sig", "of_set"]
+                )
 
 
 def _sets(texts: list[str]) -> list[np.ndarray]:
@@ -166,9 +246,9 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; texts(doc_id, text)."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    """The pairs (a, b) whose full sets are similar enough; texts(rep, text)."""
+    left = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(left, "a").join(right, "b").mapInArrow(_confirm, "a long, b long")
 
 
@@ -177,61 +257,50 @@ def profile(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(_profile, "doc_id long, n_shingles long, key binary, sig binary")
 
 
-def near_duplicates(documents: DataFrame, small: int = 32) -> DataFrame:
+def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of `documents`."""
     scratch = Scratch(documents.sparkSession)
     rows = scratch.save(profile(documents), "profile")
     known = rows.where("key is not null and doc_id is not null")
-    classes = scratch.save(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")), "classes")
-    # One text per class, chosen by id; classes that share an id keep a text each.
-    docs = documents.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
-
-    region = scratch.save(regions(classes, LEAD), "regions")
-    # Only keys that at least two classes have go on; the counts are combined before the shuffle.
-    heads = region.groupBy("ord", "key").agg(F.min("rep").alias("leader"), F.max("rep").alias("most")).where("leader < most")
-    member = scratch.save(region.join(heads.select("ord", "key", "leader"), ["ord", "key"]), "member")
-    scratch.free(region)
-    # The texts that any candidate needs, shuffled once. The ids are joined in sorted order at every size, as they grow with the texts.
-    ids = member.select(F.col("rep").alias("doc_id")).distinct().hint("merge")
-    texts = scratch.save(docs.join(ids, "doc_id", "left_semi"), "texts")
-    first = scratch.save(member.where("rep > leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    links = scratch.save(confirmed(first, texts), "links")
+    classes = scratch.save(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), "classes")
+    docs = documents.select(F.col("doc_id").cast("long").alias("rep"), "text").where("doc_id is not null and text is not null")
+
+    member = scratch.save(regions(classes), "member")
+    sketch = scratch.save(classes.join(member.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "sig").mapInArrow(_sketch, "rep long, n long, sig binary"), "sketch")
+    pairs = _nearest(member)
+    alike = scratch.save(
+        pairs.join(sketch.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a")
+        .join(sketch.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
+        .mapInArrow(_resemble, "a long, b long").distinct(), "alike",
+    )
+    # The ids are joined in sorted order at every size, as they grow with the texts.
+    ids = alike.select(F.col("a").alias("rep")).unionByName(alike.select(F.col("b").alias("rep"))).distinct().hint("merge")
+    texts = scratch.save(docs.join(ids, "rep", "left_semi"), "texts")
+    links = scratch.save(confirmed(alike, texts), "links")
+    scratch.free(texts, alike)
     comps = connected_components(links, scratch)
 
-    labelled = scratch.save(
-        member.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("ord", "key", "rep", F.coalesce("comp", "rep").alias("comp")), "labelled"
-    )
+    size = sketch.groupBy("rep").agg((8 * F.sum("n")).alias("bytes"))
+    named = size.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "bytes", F.coalesce("comp", "rep").alias("comp"))
+    labelled = scratch.save(member.select("ord", "lead", "rep").join(named, "rep"), "labelled")
     scratch.free(member)
-    mixed = labelled.groupBy("ord", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
-    open_ = scratch.save(labelled.join(mixed.select("ord", "key", "n"), ["ord", "key"]), "open")
-    scratch.free(labelled)
-    second = open_.where(F.col("n") <= small).select("ord", "key", "rep", "comp")
-    left, right = second.withColumnsRenamed({"rep": "a", "comp": "comp_a"}), second.withColumnsRenamed({"rep": "b", "comp": "comp_b"})
-    second = left.join(right, ["ord", "key"]).where("a < b and comp_a <> comp_b").select("a", "b").distinct()
-    # The leader pairs are decided already.
-    second = scratch.save(second.join(first, ["a", "b"], "left_anti"), "pairs")
-    sig = classes.groupBy("rep").agg(F.min("sig").alias("sig"))
-    alike = (
-        second.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a")
-        .join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
-        .select("a", "b", "sig_a", "sig_b").mapInArrow(_resemble, "a long, b long")
+    small = labelled.withColumn("bytes", F.lit(2 * N_HASHES).cast("long"))
+    open_ = scratch.save(
+        _by_cell(_explode(_cells(small).join(sketch.drop("n"), "rep"), "sig"), _alike, "ord int, lead long, rep long").distinct(), "open"
     )
-    large = scratch.save(open_.where(F.col("n") > small).select("ord", "key", "rep", "comp"), "large")
-    crowded = large.limit(1).count() > 0
-    if crowded:
-        alike = alike.unionByName(_crowded(large, classes, True).join(first, ["a", "b"], "left_anti")).distinct()
-    alike = scratch.save(alike, "alike")
-    links = links.unionByName(scratch.save(confirmed(alike, texts), "links"))
-    comps = connected_components(links, scratch)
-    if crowded:
-        now = comps.withColumnRenamed("node", "rep")
-        large = scratch.save(large.select("ord", "key", "rep").join(now, "rep", "left").select("ord", "key", "rep", F.coalesce("comp", "rep").alias("comp")), "large")
-        tried = first.unionByName(alike)
-        rest = scratch.save(_crowded(large, classes, False).join(tried, ["a", "b"], "left_anti"), "rest")
-        if rest.limit(1).count():
-            comps = connected_components(links.unionByName(scratch.save(confirmed(rest, texts), "links")), scratch)
-
-    of_key = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("comp", "rep").alias("component"))
+    if open_.limit(1).count():
+        found = labelled.join(open_, ["ord", "lead", "rep"], "left_semi")
+        sets = docs.join(open_.select("rep").distinct().hint("merge"), "rep", "left_semi").mapInArrow(_full, "rep long, sig binary, of_set binary")
+        more = scratch.save(_by_cell(_explode(_cells(found).join(sets, "rep"), "sig", "of_set"), _linked, "a long, b long").distinct(), "joined")
+        # Components join components: a graph of few nodes.
+        whole = connected_components(more, scratch).select(F.col("node").alias("comp"), F.col("comp").alias("whole"))
+        comps = (
+            comps.unionByName(whole.select(F.col("comp").alias("node"), "comp")).distinct()
+            .join(whole, "comp", "left").groupBy("node").agg(F.min(F.coalesce("whole", "comp")).alias("comp"))
+        )
+    scratch.free(labelled, sketch, open_)
+
+    of_key = classes.select("key", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("comp", "rep").alias("component"))
     return (
         rows.select("doc_id", "n_shingles", "key").join(of_key, "key", "left")
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
@@ -239,64 +308,154 @@ def near_duplicates(documents: DataFrame, small: int = 32) -> DataFrame:
     )
 
 
-def _crowded(large: DataFrame, classes: DataFrame, nearest: bool) -> DataFrame:
-    """Pairs (a, b) of different components of a region that agree often enough; with
-    `nearest`, those that are the nearest of a member in its cell.
+def _nearest(member: DataFrame) -> DataFrame:
+    """a < b: each class with the neighbours of its deepest prefixes over all orders, those that are neighbours in most orders first."""
+    both = F.array(F.struct(F.col("prev").alias("by"), F.col("prev_depth").alias("depth")), F.struct(F.col("next").alias("by"), F.col("next_depth").alias("depth")))
+    near = F.sort_array(F.collect_list(F.struct("depth", "by")), False)
+    return (
+        member.select("rep", F.explode(both).alias("x")).select("rep", "x.*").where("depth > 0 and by <> rep")
+        .groupBy("rep", "by").agg(F.sum("depth").alias("depth")).groupBy("rep").agg(F.slice(near, 1, NEAR).alias("near"))
+        .select("rep", F.explode("near.by").alias("by"))
+        .select(F.least("rep", "by").alias("a"), F.greatest("rep", "by").alias("b")).distinct()
+    )
+
+
+def _cells(members: DataFrame) -> DataFrame:
+    """rep, of: the cells of each member (ord, lead, rep, comp, bytes) of a region that holds several components.
 
     The largest component of a region and the other members are dealt into blocks; a
     cell holds two blocks, and no cell is needed for two blocks of the largest component.
     """
-    main = (
-        large.groupBy("ord", "key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("ord", "key")
-        .agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("n")).where("n > top.c")
-        .withColumn("size", F.least(F.lit(BLOCK[1]), F.greatest(F.lit(BLOCK[0]), F.col("n") / 8)))
-        .select("ord", "key", F.col("top.comp").alias("main"), F.ceil(F.col("top.c") / F.col("size")).cast("int").alias("m"), F.ceil((F.col("n") - F.col("top.c")) / F.col("size")).cast("int").alias("o"))
+    n, top = F.col("n"), F.col("top.c")
+    size = F.least(F.greatest(F.lit(BLOCK[0]), F.least(F.lit(BLOCK[1]), n / 8)), F.greatest(F.lit(1), F.floor(BLOCK_SETS * n / F.col("bytes"))))
+    region = (
+        members.groupBy("ord", "lead", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("bytes").alias("bytes")).groupBy("ord", "lead")
+        .agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("n"), F.sum("bytes").alias("bytes")).where(n > top)
+        .withColumn("size", size)
+        # A region of one block needs no second one.
+        .select(
+            "ord", "lead", F.col("top.comp").alias("main"), F.when(n <= F.col("size"), 0).otherwise(F.ceil(top / F.col("size"))).cast("int").alias("m"),
+            F.when(n <= F.col("size"), 1).otherwise(F.ceil((n - top) / F.col("size"))).cast("int").alias("o"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
+        )
     )
-    m, o, block = F.col("m"), F.col("o"), F.col("block")
+    m, o, block, dealt = F.col("m"), F.col("o"), F.col("block"), F.xxhash64("rep")
     others = F.transform(F.sequence(m, m + o - 1), lambda j: F.struct(F.least(block, j).alias("x"), F.greatest(block, j).alias("y")))
-    mains = F.transform(F.sequence(F.lit(0), m - 1), lambda i: F.struct(i.alias("x"), block.alias("y")))
-    cells = (
-        large.join(main, ["ord", "key"])
-        .withColumn("block", F.when(F.col("comp") == F.col("main"), F.pmod(F.xxhash64("rep"), m)).otherwise(m + F.pmod(F.xxhash64("rep"), o)).cast("int"))
+    mains = F.transform(F.filter(F.sequence(F.lit(0), F.greatest(m - 1, F.lit(0))), lambda i: i < m), lambda i: F.struct(i.alias("x"), block.alias("y")))
+    return (
+        members.withColumn("salt", F.pmod(F.xxhash64(F.lit(1), "rep"), F.lit(SALTS)).cast("int")).join(region, ["ord", "lead", "salt"])
+        .withColumn("block", F.when((F.col("comp") == F.col("main")) & (m > 0), F.pmod(dealt, m)).otherwise(m + F.pmod(dealt, o)).cast("int"))
         .withColumn("cells", F.when(block < m, others).otherwise(F.concat(mains, others)))
-        .groupBy("rep").agg(F.collect_list(F.struct("ord", "key", "comp", "block", "cells")).alias("of"))
+        .groupBy("rep").agg(F.collect_list(F.struct("ord", "lead", "comp", "block", "cells")).alias("of"))
     )
-    # The signatures meet each class once, by one byte a value.
-    rows = (
-        cells.join(classes.select("rep", "sig"), "rep").mapInArrow(_bytes, "rep long, sig binary, of " + cells.schema["of"].dataType.simpleString())
-        .select("rep", "sig", F.explode("of").alias("of")).select("rep", "sig", "of.*")
-        .select("rep", "sig", "ord", "key", "comp", "block", F.explode("cells").alias("cell")).select("rep", "sig", "ord", "key", "comp", "block", "cell.*")
+
+
+def _explode(members: DataFrame, *carried: str) -> DataFrame:
+    """One row for each cell of a member: what it carries meets its cells once."""
+    return (
+        members.select("rep", *carried, F.explode("of").alias("of")).select("rep", *carried, "of.*")
+        .select("rep", *carried, "ord", "lead", "comp", "block", F.explode("cells").alias("cell")).select("rep", *carried, "ord", "lead", "comp", "block", "cell.*")
     )
-    return rows.groupBy("ord", "key", "x", "y").applyInArrow(_compare(nearest), "a long, b long").distinct()
 
 
-def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The low byte of each MinHash value: what agrees in full agrees here."""
-    for b in batches:
-        if b.num_rows:
-            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, N_HASHES).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array([s.tobytes() for s in sig], pa.binary()), b.column("of")], ["rep", "sig", "of"])
-
-
-def _compare(nearest: bool):
-    def run(t: pa.Table) -> pa.Table:
-        rep, comp, block, x = (t.column(c).to_numpy() for c in ("rep", "comp", "block", "x"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, N_HASHES)
-        left, right = np.flatnonzero(block == x), np.flatnonzero(block == t.column("y").to_numpy())
-        u, v = np.ascontiguousarray(sig[left].T), np.ascontiguousarray(sig[right].T)
-        agree = np.zeros((len(left), len(right)), np.uint8)
-        for k in range(N_HASHES):
-            agree += u[k][:, None] == v[k]
-        agree[comp[left][:, None] == comp[right]] = 0
-        i, j = np.nonzero(agree >= AGREE)
-        if nearest and len(i):
-            best = (agree.argmax(1)[i] == j) | (agree.argmax(0)[j] == i)
-            i, j = i[best], j[best]
-        p, q = rep[left[i]], rep[right[j]]
-        once = np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)]), axis=1)
-        return pa.table({"a": pa.array(once[0], pa.int64()), "b": pa.array(once[1], pa.int64())})
-
-    return run
+def _by_cell(rows: DataFrame, of_cell, schema: str) -> DataFrame:
+    """of_cell(ord, lead, x, y, columns) over the rows of each cell, which lie together in one task."""
+    names = schema.replace(" int", "").replace(" long", "").split(", ")
+    cell = ["ord", "lead", "x", "y"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now: tuple | None = None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1 or held and held[0].num_rows > 1:
+                t = pa.Table.from_batches(held)
+                got = of_cell(*now, {c: t.column(c) for c in t.column_names if c not in cell})
+                if len(got[0]):
+                    yield pa.RecordBatch.from_arrays(got, names)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = np.stack([b.column(c).to_numpy().astype(np.int64) for c in cell])
+            cut = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+            for s, e in itertools.pairwise([0, *cut.tolist(), b.num_rows]):
+                if (key := tuple(keys[:, s].tolist())) != now:
+                    yield from out()
+                    held, now = [], key
+                held.append(b.slice(s, e - s))
+        yield from out()
+
+    return rows.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(run, schema)
+
+
+def _pairs(order: int, x: int, y: int, of: dict[str, pa.ChunkedArray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, row, values that agree) of pairs of different components that agree often enough and share no earlier order."""
+    comp, block = of["comp"].to_numpy(), of["block"].to_numpy()
+    left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+    out = comp[left][:, None] == comp[right]
+    if x == y:
+        out |= np.tri(len(left), dtype=bool)
+    if out.all():
+        return (np.zeros(0, np.int64),) * 3
+    sig = _signatures(of["sig"], np.uint16)
+    u, v = np.ascontiguousarray(sig[left].T), np.ascontiguousarray(sig[right].T)
+    agree = np.zeros((len(left), len(right)), np.uint8)
+    for o in range(ORDERS):
+        shared = np.ones(agree.shape, bool)
+        for k in range(o * LEAD, (o + 1) * LEAD):
+            same = u[k][:, None] == v[k]
+            agree += same
+            shared &= same
+        if o < order:
+            out |= shared
+    agree[out] = 0
+    i, j = np.nonzero(agree >= AGREE)
+    return left[i], right[j], agree[i, j]
+
+
+def _alike(order: int, lead: int, x: int, y: int, of: dict[str, pa.ChunkedArray]) -> list[pa.Array]:
+    """Members of a cell that resemble one of another component."""
+    i, j, _ = _pairs(order, x, y, of)
+    rep = np.unique(of["rep"].to_numpy()[np.concatenate([i, j])])
+    return [pa.array([order] * len(rep), pa.int32()), pa.array([lead] * len(rep), pa.int64()), pa.array(rep, pa.int64())]
+
+
+def _linked(order: int, lead: int, x: int, y: int, of: dict[str, pa.ChunkedArray]) -> list[pa.Array]:
+    """Pairs of components that links of a cell join: the pairs that resemble each other most come first, and none that is joined by then."""
+    i, j, agree = _pairs(order, x, y, of)
+    comp = of["comp"].to_pylist()
+    raw = of["of_set"].to_pylist() if len(i) else []
+    root = {c: c for c in comp}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    a, b = [], []
+    for least, most in ((112, 129), (96, 112), (84, 96), (AGREE, 84)):
+        now = (agree >= least) & (agree < most)
+        if not now.any():
+            continue
+        rows, cut = np.unique(i[now], return_index=True)  # pairs come sorted by their first row
+        for r, with_ in zip(rows.tolist(), np.split(j[now], cut[1:]), strict=True):
+            own_root = find(comp[r])
+            others = [k for k in with_.tolist() if find(comp[k]) != own_root]
+            if not others:
+                continue
+            own = np.frombuffer(raw[r], np.uint64)
+            sizes = np.array([len(raw[k]) // 8 for k in others])
+            every = np.frombuffer(b"".join([raw[k] for k in others]), np.uint64)
+            at = np.minimum(np.searchsorted(own, every), len(own) - 1)
+            both = np.add.reduceat((own[at] == every).astype(np.int64), np.cumsum(sizes) - sizes)
+            for k in np.flatnonzero(100 * both >= PERCENT * (len(own) + sizes - both)).tolist():
+                p, q = find(comp[r]), find(comp[others[k]])
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    a.append(min(p, q))
+                    b.append(max(p, q))
+    return [pa.array(a, pa.int64()), pa.array(b, pa.int64())]
 
 
 def keep_first(documents: DataFrame, **kw) -> DataFrame:

@@ -303,15 +303,16 @@ def brute_minhash(rows):
     return sorted(out, key=repr)
 
 
-def test_minhash_equals_brute_force(spark, docs, no_docs):
+def test_minhash_equals_brute_force(spark, docs, no_docs, monkeypatch):
     assert sorted_rows(minhash.near_duplicates(docs)) == brute_minhash(edge_rows())
     assert minhash.near_duplicates(no_docs).count() == 0
     words = prose(9, 100).split()
     rows = [(i, " ".join(f"{w}{i}" if k == 3 * i % 100 else w for k, w in enumerate(words))) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_minhash(rows)
-    for small in (64, 8):
-        assert sorted_rows(minhash.near_duplicates(df, small=small)) == want
+    for block in (minhash.BLOCK, (4, 8)):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        assert sorted_rows(minhash.near_duplicates(df)) == want
 
 
 def test_minhash_finds_all_links_of_a_crowded_region(spark):
@@ -334,6 +335,30 @@ def test_minhash_finds_all_links_of_a_crowded_region(spark):
     assert got == dict(enumerate(comp))
 
 
+@pytest.mark.parametrize("block", [minhash.BLOCK, (8, 16)])
+def test_minhash_loses_no_link_between_groups_on_one_text(spark, monkeypatch, block):
+    """Groups of three near 0.77 on one base text, across groups near 0.72: every region is crowded and mixed."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    r = np.random.default_rng(11)
+    base = [f"w{k}" for k in range(1200)]
+    rows = []
+    for g in range(60):
+        own = r.choice(240, 21, replace=False) * 5
+        group = [f"g{g}" if k in set(own.tolist()) else w for k, w in enumerate(base)]
+        for c in range(3):
+            changed = set((r.choice(240, 16, replace=False) * 5 + 2).tolist())
+            rows.append((len(rows), " ".join(f"c{g}_{c}" if k in changed else w for k, w in enumerate(group))))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    near = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    comp = list(range(len(rows)))
+    for _ in range(60):
+        for a, b in near:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(comp))
+    assert len(set(comp)) > 20 and len(near) > 60
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
