@@ -70,9 +70,10 @@ def _ids(codec: Codec, text: str) -> bytes:
 
 
 def encode(
-    documents: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP
+    documents: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, decoded: bool = False
 ) -> DataFrame:
-    """doc_id, ids: the token ids of each row's text as little-endian uint32 bytes.
+    """doc_id, ids: the token ids of each row's text as little-endian uint32 bytes; with
+    `decoded` also their bytes, decoded from the ids in the same pass.
 
     `overlap` is at least twice LOOKAHEAD and less than `chunk`. The memory of a task is
     bounded by one text and its ids.
@@ -86,7 +87,8 @@ def encode(
         codec = Codec.of(ranks_path, pattern)
         for b in in_parts(batches):
             ids = [_ids(codec, t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            more = [pa.array([codec.decode(np.frombuffer(x, "<u4").tolist()) for x in ids], pa.binary())] if decoded else []
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary()), *more], ["doc_id", "ids", "decoded"][: 2 + decoded])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -126,7 +128,7 @@ def encode(
             )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    short = rows.where(fits).mapInArrow(whole, f"doc_id {kind}, ids binary")
+    short = rows.where(fits).mapInArrow(whole, f"doc_id {kind}, ids binary" + ", decoded binary" * decoded)
     cut_at = rows.where(~fits).mapInArrow(cut, f"row_id binary, doc_id {kind}, k long, part string")
     # A repeated row has the same cuts and the same ids: its chunks count once and it comes back by its number of copies.
     chunks = cut_at.groupBy("row_id", "k").agg(
@@ -160,7 +162,7 @@ def encode(
         .select("doc_id", F.expr("aggregate(p, cast('' as binary), (a, x) -> concat(a, x.ids))").alias("ids"), F.explode(F.sequence(F.lit(1), "copies")))
         .drop("col")
     )
-    return short.unionByName(long)
+    return short.unionByName(decode(long, ranks_path, pattern) if decoded else long)
 
 
 def decode(coded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -178,7 +180,7 @@ def decode(coded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 def digest(documents: DataFrame, ranks_path: str, pattern: str, **kw) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return decode(encode(documents, ranks_path, pattern, **kw), ranks_path, pattern).select(
+    return encode(documents, ranks_path, pattern, decoded=True, **kw).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -5,14 +5,16 @@ whole shorter item) becomes a pattern. All patterns form one automaton, and each
 document is scanned once. A match's place in the folded text gives the words it
 covers and, through the words' edges, byte offsets in the original text.
 
-Patterns reach the tasks as text of a checked size: at most `block_bytes`. A larger
-benchmark is dealt into blocks by a hash of the item's id and the documents are
-scanned once per block, which gives the same rows.
+Patterns reach the tasks as broadcast text of a checked size: at most `block_bytes`,
+as an automaton holds a node for about each byte of each window. A larger benchmark is
+dealt into blocks by a hash of the item's text; each row goes through one block after
+the other and takes along what the blocks before have found, so any number of blocks
+gives the same rows, without a shuffle.
 
 Defined results: a null or empty text has no words, no hits and is clean; an item
 without words matches nothing; an item whose id is null is left out; items that
-share an id count once; rows that share a doc_id are judged one by one where one
-block suffices, and together (same text, same result) beyond that.
+share an id count once; rows are judged one by one, also those that share a doc_id or
+have none; very long texts are scanned whole; extra columns, of any name, are passed on.
 """
 
 from __future__ import annotations
@@ -24,17 +26,18 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from modalflow.llm.common import LOWER_ALNUM, Scratch
+from modalflow.llm.common import LOWER_ALNUM, Scratch, parts
 
 WINDOW = 13
 
 _automata: dict[bytes, tuple] = {}
 
 
-
 def _folded(text: str | None) -> list[str]:
     """Words as latin-1 text: one character for each byte."""
     return [w for w in (text or "").encode().translate(LOWER_ALNUM).decode("latin-1").split(" ") if w]
@@ -61,72 +64,80 @@ def _automaton(items: list[tuple[str, str]], window: int):
     return _automata[key]
 
 
-def _scanner(items: list[tuple[str, str]], window: int):
-    schema = pa.schema([
-        ("doc_id", pa.int64()), ("n_words", pa.int64()), ("hit_words", pa.list_(pa.int64())),
-        ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("items", pa.list_(pa.string())),
-    ])
+FOUND = pa.struct([
+    ("n_words", pa.int64()), ("hit_words", pa.list_(pa.int64())),
+    ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("items", pa.list_(pa.string())),
+])
+_FOUND = "struct<n_words:long,hit_words:array<long>,spans:array<struct<start:long,stop:long>>,items:array<string>>"
+
+
+def _scan(automaton, raw: bytes, before: dict | None) -> dict:
+    """What the patterns hit in a folded text, with what earlier blocks have hit."""
+    w = raw.split()  # of bytes, which keeps 0x85 and 0xA0
+    line = f" {b' '.join(w).decode('latin-1')} "
+    found = list(automaton.iter(line)) if automaton is not None and w else []
+    if not found:
+        return before or {"n_words": len(w), "hit_words": [], "spans": [], "items": []}
+    blank = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 32)
+    hit = np.zeros(len(w), bool)
+    named: set[str] = set()
+    if before:
+        hit[before["hit_words"]] = True
+        named.update(before["items"])
+    for end, (n, of) in found:
+        k = int(np.searchsorted(blank, end))
+        hit[k - n : k] = True
+        named.update(of)
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], (np.frombuffer(raw, np.uint8) != 32).view(np.int8), [0]])))
+    runs = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
+    spans = [{"start": int(edge[2 * s]), "stop": int(edge[2 * e - 1])} for s, e in zip(runs[::2], runs[1::2], strict=True)]
+    return {"n_words": len(w), "hit_words": np.flatnonzero(hit).tolist(), "spans": spans, "items": sorted(named)}
+
+
+def _scanner(items: Broadcast, window: int, text_at: int, found_at: int | None):
+    """Adds what was found to each row, or brings its column up to date."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, some = _automaton(items, window)
-        for b in batches:
-            out: tuple[list, ...] = ([], [], [], [])
-            for text in b.column("text").to_pylist():
-                raw = (text or "").encode().translate(LOWER_ALNUM)
-                w = raw.split()  # of bytes, which keeps 0x85 and 0xA0
-                line = f" {b' '.join(w).decode('latin-1')} "
-                found = list(automaton.iter(line)) if some and w else []
-                hits, spans, ids = [], [], []
-                if found:
-                    blank = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 32)
-                    hit = np.zeros(len(w), bool)
-                    named: set[str] = set()
-                    for end, (n, of) in found:
-                        k = int(np.searchsorted(blank, end))
-                        hit[k - n : k] = True
-                        named.update(of)
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], (np.frombuffer(raw, np.uint8) != 32).view(np.int8), [0]])))
-                    runs = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-                    spans = [{"start": int(edge[2 * s]), "stop": int(edge[2 * e - 1])} for s, e in zip(runs[::2], runs[1::2], strict=True)]
-                    hits, ids = np.flatnonzero(hit).tolist(), sorted(named)
-                for x, v in zip(out, (len(w), hits, spans, ids), strict=True):
-                    x.append(v)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, f.type) for x, f in zip(out, list(schema)[1:], strict=True))], schema=schema)
+        automaton, some = _automaton(items.value, window)
+        for b in parts(batches):
+            before = [None] * b.num_rows if found_at is None else b.column(found_at).to_pylist()
+            out = [
+                _scan(automaton if some else None, (t or "").encode().translate(LOWER_ALNUM), x)
+                for t, x in zip(b.column(text_at).to_pylist(), before, strict=True)
+            ]
+            columns = [c for k, c in enumerate(b.columns) if k != found_at]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, FOUND)], [f"c{k}" for k in range(len(columns))] + ["found"])
 
     return scan
 
 
-SCANNED = "doc_id long, n_words long, hit_words array<long>, spans array<struct<start:long,stop:long>>, items array<string>"
-
-
-def find(
-    documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 32 << 20
-) -> DataFrame:
-    """doc_id, n_words, hit_words (places of hit words), spans (their byte ranges in the
-    original text), items (ids, sorted as text)."""
+def scanned(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 1 << 20) -> tuple[DataFrame, list[str]]:
+    """The rows of `documents` as columns c0, c1, ... and `found`; the names that those columns had."""
+    spark = documents.sparkSession
     bench = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text"))
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-2 * total // block_bytes))
-    docs = documents.select(F.col("doc_id").cast("long"), "text")
-
-    def block(k: int) -> list[tuple[str, str]]:
-        part = bench if n == 1 else bench.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k)
-        return sorted((r["item"], r["text"]) for r in part.collect())
-
-    if n == 1:
-        return docs.mapInArrow(_scanner(block(0), window), SCANNED)
-    scratch = Scratch(documents.sparkSession)
-    parts = [scratch.save(docs.mapInArrow(_scanner(block(k), window), SCANNED).withColumn("block", F.lit(k)), "scan") for k in range(n)]
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    merged = both.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_words")))).alias("hit_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
-    return merged
+    names = documents.columns
+    rows = documents.toDF(*(f"c{k}" for k in range(len(names))))
+    schema = StructType([*(StructField(f.name, f.dataType) for f in rows.schema), *StructType.fromDDL(f"found {_FOUND}")])
+    scratch = Scratch(spark) if n > 1 else None
+    for k in range(n):
+        part = bench if n == 1 else bench.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
+        items = spark.sparkContext.broadcast(sorted((r["item"], r["text"]) for r in part.collect()))
+        before = rows
+        rows = rows.mapInArrow(_scanner(items, window, names.index("text"), len(names) if k else None), schema)
+        if k < n - 1:
+            rows = scratch.save(rows, "scan")
+            if k:
+                scratch.free(before)
+    return rows, names
+
+
+def find(documents: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
+    """doc_id, n_words, hit_words (places of hit words), spans (their byte ranges in the
+    original text), items (ids, sorted as text)."""
+    rows, _ = scanned(documents.select(F.col("doc_id").cast("long"), "text"), benchmark, **kw)
+    return rows.select(F.col("c0").alias("doc_id"), "found.*")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -140,9 +151,11 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
-    """The rows of `documents` whose texts are not contaminated."""
-    bad = digest(find(documents, benchmark, **kw)).where("contaminated").select("doc_id").distinct()
-    return documents.join(bad, "doc_id", "left_anti")
+    """The rows of `documents` whose texts are not contaminated, in one narrow pass a block."""
+    rows, names = scanned(documents, benchmark, **kw)
+    n_hit = F.size("found.hit_words").cast("long")
+    bad = (n_hit > 0) & (20 * n_hit >= F.col("found.n_words"))
+    return rows.where(~bad).drop("found").toDF(*names)
 
 
 ORACLE = r"""

@@ -3,6 +3,8 @@
 A line is trimmed of spaces, lower-cased and split at spaces. A line of at least
 `min_words` words is dropped if an earlier line (by doc_id, then place) is at word edit
 distance 0 or 1 from it, whether or not that line is itself kept; shorter lines stay.
+A document is a doc_id with its text: of texts that share an id, a hash of the text
+tells which is earlier, and rows that share both are one document.
 
 Equal lines meet by two 64-bit hashes; each distinct line goes on with its earliest
 place. Lines at distance 1 agree in one half, so lines whose halves no other line has
@@ -18,8 +20,9 @@ lines have costs rows in proportion to its lines. The edit distance of every mat
 verified on the words.
 
 Defined results: a null text stays null and has no lines; an empty text has one empty
-line; rows that share a doc_id share the places of dropped lines; rows whose doc_id is
-null keep all lines; other columns are passed on.
+line; rows that share a doc_id are dropped lines from one by one, and equal rows alike;
+rows whose doc_id is null keep all lines; very long texts and lines are taken whole;
+other columns, of any name, are passed on.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from pyspark.sql import functions as F
 from modalflow.llm.common import Scratch
 
 MIN_WORDS = 5
+#: The document that a line belongs to.
+OWNER = ["doc_id", "text_hash"]
 
 
 def _words(line: Column) -> Column:
@@ -37,11 +42,11 @@ def _words(line: Column) -> Column:
 
 
 def _lines(documents: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, pos, w (words), n: lines that take part."""
+    """doc_id, text_hash, pos, w (words), n: lines that take part."""
     return (
         documents.where("doc_id is not null and text is not null")
-        .select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-        .select("doc_id", "pos", _words(F.col("line")).alias("w"))
+        .select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+        .select(*OWNER, "pos", _words(F.col("line")).alias("w"))
         .withColumn("n", F.size("w")).where(F.col("n") >= min_words)
     )
 
@@ -50,7 +55,7 @@ def _keyed(lines: DataFrame) -> DataFrame:
     n, w = F.col("n"), F.col("w")
     h, g = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
     return lines.select(
-        "doc_id", "pos", "n", F.xxhash64(w).alias("k1"), F.xxhash64(F.lit(1), w).alias("k2"),
+        *OWNER, "pos", "n", F.xxhash64(w).alias("k1"), F.xxhash64(F.lit(1), w).alias("k2"),
         F.array(
             F.xxhash64(n, F.lit("p"), F.slice(w, F.lit(1), h)),
             F.xxhash64(n, F.lit("s"), F.slice(w, h + 1, n)),
@@ -61,26 +66,26 @@ def _keyed(lines: DataFrame) -> DataFrame:
 
 
 def dropped_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, pos (from 0) of every line to drop."""
+    """doc_id, text_hash, pos (from 0) of every line to drop."""
     scratch = Scratch(documents.sparkSession)
     keyed = _keyed(_lines(documents, min_words))
-    place = F.struct("doc_id", "pos")
+    place = F.struct(*OWNER, "pos")
     uniq = scratch.save(keyed.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("halves").alias("halves")), "uniq")
     # Later copies of a line: only lines that occur twice go on to the join.
     twice = uniq.where("copies > 1").select("k1", "k2", "first")
-    copies = keyed.select("k1", "k2", "doc_id", "pos").join(twice, ["k1", "k2"]).where(place > F.col("first")).select("doc_id", "pos")
+    copies = keyed.select("k1", "k2", *OWNER, "pos").join(twice, ["k1", "k2"]).where(place > F.col("first")).select(*OWNER, "pos")
 
-    half = uniq.select(F.col("first.doc_id").alias("doc_id"), F.col("first.pos").alias("pos"), F.posexplode("halves").alias("side", "half"))
+    half = uniq.select("first.*", F.posexplode("halves").alias("side", "half"))
     shared = half.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half")
     near = (
-        half.join(shared, "half").groupBy("doc_id", "pos")
+        half.join(shared, "half").groupBy(*OWNER, "pos")
         .agg(F.max(F.col("side") % 2 == 0).alias("late"), F.max(F.col("side") % 2 == 1).alias("early"))
-        .groupBy("doc_id").agg(F.collect_list(F.struct("pos", "late", "early")).alias("near"))
+        .groupBy(*OWNER).agg(F.collect_list(F.struct("pos", "late", "early")).alias("near"))
     )
     open_ = scratch.save(
-        documents.where("text is not null").select("doc_id", F.split("text", "\n").alias("lines")).join(near, "doc_id")
-        .select("doc_id", F.explode(F.transform("near", lambda x: F.struct(x["pos"].alias("pos"), x["late"].alias("late"), x["early"].alias("early"), F.element_at("lines", x["pos"] + 1).alias("line")))).alias("x"))
-        .select(F.struct("doc_id", "x.pos").alias("at"), "x.late", "x.early", _words(F.col("x.line")).alias("w"))
+        documents.where("text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n").alias("lines")).join(near, OWNER)
+        .select(*OWNER, F.explode(F.transform("near", lambda x: F.struct(x["pos"].alias("pos"), x["late"].alias("late"), x["early"].alias("early"), F.element_at("lines", x["pos"] + 1).alias("line")))).alias("x"))
+        .select(F.struct(*OWNER, "x.pos").alias("at"), "x.late", "x.early", _words(F.col("x.line")).alias("w"))
         .dropDuplicates(["at"]), "open",
     )
     variants = scratch.save(_variants(open_), "variants")
@@ -97,7 +102,7 @@ def dropped_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame
     )
     text = open_.select("at", "w")
     verified = (
-        pairs.join(text, "at").join(text.select(F.col("at").alias("by"), F.col("w").alias("u")), "by").where(within_one(F.col("w"), F.col("u"))).select("at.doc_id", "at.pos")
+        pairs.join(text, "at").join(text.select(F.col("at").alias("by"), F.col("w").alias("u")), "by").where(within_one(F.col("w"), F.col("u"))).select("at.*")
     )
     return scratch.save(copies.unionByName(verified), "dropped")
 
@@ -125,37 +130,47 @@ def within_one(a: Column, b: Column) -> Column:
     return (F.abs(F.size(a) - F.size(b)) <= 1) & (common(a, b) + common(F.reverse(a), F.reverse(b)) >= most - 1)
 
 
-def without(documents: DataFrame, dropped: DataFrame) -> DataFrame:
-    """`documents` with the lines left in `text`, and __lines and __dropped, their numbers."""
+def without(documents: DataFrame, dropped: DataFrame) -> tuple[DataFrame, str, str]:
+    """`documents` with the lines left in `text`, and the names of two more columns: number of lines, number of dropped ones."""
+    taken = {c.lower() for c in documents.columns}
+
+    def free(name: str) -> str:
+        while name in taken:
+            name = f"_{name}"
+        return name
+
+    n_lines, n_dropped, marks, own, key = map(free, ("n_lines", "n_dropped", "marks", "text_hash", "key_of"))
     gaps = F.zip_with("d", F.concat(F.array(F.lit(-1)), F.slice("d", F.lit(1), F.size("d") - 1)), lambda p, q: F.concat(F.repeat(F.lit("0"), p - q - 1), F.lit("1")))
-    marks = (
-        dropped.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("d"))
-        .select("doc_id", F.size("d").cast("long").alias("__dropped"), F.array_join(gaps, "").cast("binary").alias("__marks"))
+    marked = (
+        dropped.groupBy(*OWNER).agg(F.array_sort(F.collect_set("pos")).alias("d"))
+        .select(F.col("doc_id").alias(key), F.col("text_hash").alias(own), F.size("d").cast("long").alias(n_dropped), F.array_join(gaps, "").cast("binary").alias(marks))
     )
     lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda _, i: F.coalesce(F.substring(F.col("__marks"), i + 1, F.lit(1)) != F.lit(b"1"), F.lit(True)))
-    return (
-        documents.join(marks, "doc_id", "left")
-        .withColumn("__lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"))
-        .withColumn("text", F.when(F.col("__marks").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-        .withColumn("__dropped", F.coalesce("__dropped", F.lit(0).cast("long")))
-        .drop("__marks")
+    kept = F.filter(lines, lambda _, i: F.coalesce(F.substring(F.col(marks), i + 1, F.lit(1)) != F.lit(b"1"), F.lit(True)))
+    out = (
+        documents.join(marked, (F.col("doc_id") == F.col(key)) & (F.xxhash64("text") == F.col(own)), "left")
+        .withColumn(n_lines, F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"))
+        .withColumn("text", F.when(F.col(marks).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+        .withColumn(n_dropped, F.coalesce(n_dropped, F.lit(0).cast("long")))
+        .drop(marks, key, own)
     )
+    return out, n_lines, n_dropped
 
 
 def digest(documents: DataFrame, **kw) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256."""
     docs = documents.select("doc_id", "text")
-    return without(docs, dropped_lines(docs, **kw)).select(
-        "doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    out, n_lines, n_dropped = without(docs, dropped_lines(docs, **kw))
+    return out.select(
+        "doc_id", F.col(n_lines).alias("n_lines"), F.col(n_dropped).alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
     )
 
 
 def dedup(documents: DataFrame, **kw) -> DataFrame:
     """`documents` with the lines left; a document that had words and has none left is a copy of earlier lines and goes."""
     names = documents.columns
-    out = without(documents, dropped_lines(documents.select("doc_id", "text"), **kw))
-    gone = (F.col("__dropped") > 0) & (F.trim(F.regexp_replace("text", "[\\s]+", " ")) == "")
+    out, _, n_dropped = without(documents, dropped_lines(documents.select("doc_id", "text"), **kw))
+    gone = (F.col(n_dropped) > 0) & (F.trim(F.regexp_replace("text", "[\\s]+", " ")) == "")
     return out.where(~F.coalesce(gone, F.lit(False))).select(*names)
 
 

@@ -58,14 +58,21 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(votes @ self.weights + self.bias, -40, 40)))
 
 
-def _hits(raw: bytes, lexicon: dict[tuple[int, bytes], int]) -> tuple[Counter, int]:
+Keys = dict[int, dict[bytes, int]]
+
+
+def lexicon_keys(lexicon: dict[tuple[int, bytes], int]) -> Keys:
+    """Entries by length of beginning."""
+    return {n: {w: k for (x, w), k in lexicon.items() if x == n} for n in (0, *PREFIXES)}
+
+
+def _hits(raw: bytes, by: Keys) -> tuple[Counter, int]:
     """Occurrences of each entry, and the number of words."""
     words = raw.translate(LOWER_ALNUM).split()
     found: Counter = Counter()
     distinct = set(words)
     matched = {}
-    for n in (0, *PREFIXES):
-        keys = lexicon_keys(lexicon, n)
+    for n, keys in by.items():
         if n == 0:
             for w in distinct & keys.keys():
                 matched.setdefault(w, []).append(keys[w])
@@ -82,23 +89,13 @@ def _hits(raw: bytes, lexicon: dict[tuple[int, bytes], int]) -> tuple[Counter, i
     return found, len(words)
 
 
-_keyed: dict[int, dict[int, dict[bytes, int]]] = {}
-
-
-def lexicon_keys(lexicon: dict[tuple[int, bytes], int], n: int) -> dict[bytes, int]:
-    by = _keyed.get(id(lexicon))
-    if by is None:
-        _keyed.clear()
-        by = _keyed[id(lexicon)] = {m: {w: k for (x, w), k in lexicon.items() if x == m} for m in (0, *PREFIXES)}
-    return by[n]
-
-
 def votes(texts: list[bytes], lexicon: dict[tuple[int, bytes], int]) -> np.ndarray:
     """One column per lexicon entry and pattern, then log counts: all hits, distinct hits, hits in a hundred words."""
     n = len(lexicon)
+    by = lexicon_keys(lexicon)
     out = np.zeros((len(texts), n + len(PATTERNS) + 6))
     for r, raw in enumerate(texts):
-        found, size = _hits(raw, lexicon)
+        found, size = _hits(raw, by)
         for k, c in found.items():
             if k >= 0:
                 out[r, k] = c > 0

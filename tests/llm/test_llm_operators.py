@@ -56,7 +56,7 @@ def test_bpe_seams(text):
             assert common[0] + chunk * k in true
 
 
-def brute_decontam(rows, items, window=13):
+def brute_decontam_in_order(rows, items, window=13):
     def words(t):
         return [w for w in (t or "").encode().translate(decontam.LOWER_ALNUM).split(b" ") if w]
 
@@ -74,7 +74,11 @@ def brute_decontam(rows, items, window=13):
                     hit |= set(range(s, s + n))
                     named |= got
         out.append((i, len(w), len(hit), len(named), hashlib.sha256(",".join(sorted(named)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
-    return sorted(out, key=repr)
+    return out
+
+
+def brute_decontam(rows, items, window=13):
+    return sorted(brute_decontam_in_order(rows, items, window), key=repr)
 
 
 def test_decontamination_equals_brute_force(spark, docs, no_docs):
@@ -110,8 +114,17 @@ def test_decontamination_keeps_all_bytes_of_a_word(spark):
 
 def test_decontamination_in_blocks_is_the_same(spark, docs):
     bench = spark.createDataFrame([(i, prose(1, 120)[i * 10 : i * 10 + 200]) for i in range(6)], "item_id long, text string")
-    unique = docs.dropDuplicates(["doc_id"]).where("doc_id is not null")
-    assert sorted_rows(decontam.digest(decontam.find(unique, bench, block_bytes=300))) == sorted_rows(decontam.digest(decontam.find(unique, bench)))
+    want = sorted_rows(decontam.find(docs, bench))
+    assert sum(bool(r[2]) for r in want) >= 4  # a repeated row and one without an id among them
+    for size in (1000, 300):
+        assert sorted_rows(decontam.find(docs, bench, block_bytes=size)) == want
+    odd = docs.withColumnsRenamed({"key": "found", "bucket": "c0", "label": "items"})
+    rows = [decontam.clean(odd, bench, block_bytes=size) for size in (1 << 20, 300)]
+    assert rows[0].columns == odd.columns and sorted_rows(rows[0]) == sorted_rows(rows[1])
+    bad = {repr(r[1]) for r in edge_rows()} - {repr(r["text"]) for r in rows[0].collect()}
+    assert bad == {repr(edge_rows()[k][1]) for k, r in enumerate(brute_decontam_in_order(edge_rows(), [(r[0], r[1]) for r in bench.collect()])) if r[-1]}
+    one = spark.createDataFrame([(1, prose(1, 120), "x"), (1, "clean words", "y"), (None, prose(1, 120), "z")], "doc_id long, text string, c1 string")
+    assert [r["c1"] for r in decontam.clean(one, bench).collect()] == ["y"]
 
 
 @pytest.mark.parametrize("op", [toxicity, quality])
@@ -137,6 +150,32 @@ def test_held_out_accuracy(spark):
     assert lang.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.97
 
 
+def brute_toxicity(model, text):
+    """The score of one text from the model's entries, one voter after the other."""
+    words = (text or "").encode().translate(toxicity.LOWER_ALNUM).split()
+    fires = lambda n, e, w: w == e if n == 0 else len(w) > n and w[:n] == e
+    hit = [w for w in words if any(fires(n, e, w) for n, e in model.lexicon)]
+    x = [0.0] * len(model.lexicon)
+    for (n, e), k in model.lexicon.items():
+        x[k] = float(any(fires(n, e, w) for w in words))
+    x += [float(p.search((text or "").encode()) is not None) for p in toxicity.PATTERNS]
+    d = len(set(hit))
+    x += [math.log(1 + len(hit)), math.log(1 + d), math.log(1 + 100 * len(hit) / max(1, len(words))), d >= 2, d >= 3, not hit]
+    return 1 / (1 + math.exp(-max(-40, min(40, sum(a * b for a, b in zip(x, model.weights, strict=True)) + model.bias))))
+
+
+def test_toxicity_score_equals_brute_force_for_models_in_turn(spark):
+    """Many models in one session: none answers with what another one has looked up."""
+    texts = ["you absolute clown", "blargh fooled", "foolish blarghs", "", None, "nice day!!! " * 40, "AAAA BBBB CCCC DDDD ", "word " * 30000 + "blargh"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    r = np.random.default_rng(1)
+    for words in ((b"clown", b"blargh"), (b"nice", b"day"), (b"word", b"absolute"), (b"foolish", b"you")):
+        lexicon = {(0, words[0]): 0, (0, words[1]): 1, (4, words[0][:4]): 2}
+        model = toxicity.Model(lexicon, r.standard_normal(3 + len(toxicity.PATTERNS) + 6), 0.3)
+        got = dict(toxicity.score(df, model).select("doc_id", "score").collect())
+        assert got == pytest.approx({i: brute_toxicity(model, t) for i, t in enumerate(texts)})
+
+
 def test_label_model_finds_accurate_voters():
     rng = np.random.default_rng(0)
     y = rng.random(2000) < 0.2
@@ -193,8 +232,18 @@ def test_line_dedup_equals_brute_force(spark, docs, no_docs):
     assert linededup.dedup(no_docs).count() == 0
 
 
+def test_line_dedup_judges_rows_of_one_id_apart(spark):
+    a, b = "one two three four five\nsix seven eight nine ten", "p q r s t u\nsix seven eight nine ten"
+    rows = [(1, a), (1, a), (1, "a b c d e\nz y x w v u\nk l m n o p"), (2, b), (None, a)]
+    df = spark.createDataFrame([(*r, 5, "m", 7) for r in rows], "doc_id long, text string, n_dropped int, marks string, text_hash int")
+    out = linededup.dedup(df)
+    assert out.columns == df.columns
+    got = sorted_rows(out.select("doc_id", "text", "n_dropped", "marks", "text_hash"))
+    assert got == sorted([(*r, 5, "m", 7) for r in [rows[0], rows[1], rows[2], (2, "p q r s t u"), rows[4]]], key=repr)
+
+
 def test_line_dedup_plan_has_no_python(docs):
-    plan = linededup.without(docs, linededup.dropped_lines(docs))._jdf.queryExecution().toString()
+    plan = linededup.without(docs, linededup.dropped_lines(docs))[0]._jdf.queryExecution().toString()
     assert "Python" not in plan and "InArrow" not in plan and "InPandas" not in plan
 
 
