@@ -27,10 +27,10 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     while True:
         sent = labels.select(F.col("node").alias("b"), "comp", salts)
-        near = both.select("a", "b", _salt("a")).join(sent, ["b", "salt"]).groupBy("a").agg(F.min("comp").alias("near"))
-        lower = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        # Only a node that is a label is asked for its own one.
-        jump = lower.select(F.col("node").alias("comp"), F.col("comp").alias("next")).join(lower.select("comp").distinct(), "comp", "left_semi").select("comp", "next", salts)
+        heard = both.select("a", "b", _salt("a")).join(sent, ["b", "salt"]).select(F.col("a").alias("node"), "comp", F.lit(None).cast("long").alias("old"))
+        # A node hears its own label too, as the old one.
+        lower = heard.unionByName(labels.select("node", "comp", F.col("comp").alias("old"))).groupBy("node").agg(F.min("comp").alias("comp"), F.max("old").alias("old"))
+        jump = lower.select(F.col("node").alias("comp"), F.col("comp").alias("next"), salts)
         new = scratch.save(
             lower.select("node", "old", "comp", _salt("node")).join(jump, ["comp", "salt"]).select("node", "old", F.least("comp", "next").alias("comp")), "labels"
         )
