@@ -13,25 +13,54 @@ MODES = ("full_aoci", "opt_out")
 KEY = ["rssd_id", "report_date"]
 
 
-def merge(liquidity: DataFrame, securities: DataFrame, capital: DataFrame, unique: bool = True) -> DataFrame:
+def merge(liquidity: DataFrame, securities: DataFrame, capital: DataFrame) -> DataFrame:
     """Full outer join of three schedules on (rssd_id, report_date) with the derived sums.
 
-    Schedules that are unique on the key meet in one shuffle (a union and a grouping);
-    otherwise `unique=False` joins them, which repeats rows as joins do.
+    A key that a schedule holds several times repeats rows, and a null key meets nothing, as
+    joins have it. All three are dealt by the same key, so each is shuffled once.
     """
-    if unique:
-        both = liquidity.unionByName(securities, allowMissingColumns=True).unionByName(capital, allowMissingColumns=True)
-        out = both.groupBy(*KEY).agg(*(F.first(c, ignorenulls=True).alias(c) for c in both.columns if c not in KEY))
-    else:
-        out = liquidity.join(securities, KEY, "full").join(capital, KEY, "full")
-    return out.withColumns({
+    out = liquidity.join(securities, KEY, "full").join(capital, KEY, "full")
+    return _with_sums(out)
+
+
+def merge_unique(liquidity: DataFrame, securities: DataFrame, capital: DataFrame) -> DataFrame:
+    """`merge` in one shuffle, a union and a grouping, for schedules that hold each key once.
+
+    A schedule that holds a key twice, or a null in it, ends the query with an error.
+    """
+    parts = [liquidity, securities, capital]
+    both = None
+    for k, p in enumerate(parts):
+        marked = p.withColumn(f"__rows{k}", F.lit(1))
+        both = marked if both is None else both.unionByName(marked, allowMissingColumns=True)
+    values = [c for c in both.columns if c not in KEY and not c.startswith("__rows")]
+    most = F.greatest(*(F.coalesce(F.sum(f"__rows{k}"), F.lit(0)) for k in range(len(parts))))
+    out = both.groupBy(*KEY).agg(*(F.first(c, ignorenulls=True).alias(c) for c in values), most.alias("__most"))
+    bad = (F.col("__most") > 1) | F.col(KEY[0]).isNull() | F.col(KEY[1]).isNull()
+    message = F.lit("a schedule holds a key of (rssd_id, report_date) more than once, or a null in it; use merge")
+    return _with_sums(out.where(F.when(bad, F.raise_error(message).isNull()).otherwise(F.lit(True))).drop("__most"))
+
+
+def unique_on_key(df: DataFrame) -> bool:
+    """Whether `merge_unique` takes the schedule."""
+    return not df.groupBy(*KEY).count().where("count > 1 or rssd_id is null or report_date is null").limit(1).count()
+
+
+def _with_sums(merged: DataFrame) -> DataFrame:
+    return merged.withColumns({
         "total_repo_dependency": F.col("ral_overnight_repo") + F.col("ral_term_repo"),
         "securities_total": F.col("hc_b_afs_securities") + F.col("hc_b_htm_securities"),
     })
 
 
-def unique_on_key(df: DataFrame) -> bool:
-    return not df.groupBy(*KEY).count().where("count > 1").limit(1).count()
+def with_depth(panel: DataFrame, depths: DataFrame) -> DataFrame:
+    """`panel` with each bank's `depth` of depths(rssd_id, depth), 0 where it has none."""
+    return panel.join(depths.select("rssd_id", "depth"), "rssd_id", "left").withColumn("depth", F.coalesce("depth", F.lit(0.0)))
+
+
+def first_banks(panel: DataFrame, n: int = 20) -> DataFrame:
+    """rssd_id of the first banks in order: the list that a run is limited to."""
+    return panel.select("rssd_id").where("rssd_id is not null").distinct().orderBy("rssd_id").limit(n)
 
 
 def bank_matrix(panel: DataFrame, columns: list[str]) -> DataFrame:

@@ -45,34 +45,47 @@ def lagged_correlation(wide: DataFrame, dims: list[str], max_lag: int, keys: tup
     return pairs.unionByName(own.select(*keys, "src", F.col("src").alias("dst"), F.lit(0.0).alias("score"), F.lit(0).alias("lag")))
 
 
-def permuted(signal: DataFrame, surrogates: int, seed: int) -> DataFrame:
-    """surrogate, series, t, v: each series' values in the order of a hash of (seed, surrogate, series, t)."""
-    keyed = signal.select(F.explode(F.sequence(F.lit(1), F.lit(surrogates))).alias("surrogate"), "series", "t", "v")
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("surrogate").cast("string"), F.col("series"), F.col("t").cast("string")))
-    by = Window.partitionBy("surrogate", "series").orderBy(h, "t")
-    return keyed.withColumn("p", F.row_number().over(by) - 1).select("surrogate", "series", F.col("p").alias("t"), "v")
+def permuted(signal: DataFrame, surrogates: int, seed: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, surrogate, series, t, v: each series' values in the order of a hash of (seed, surrogate, series, t, keys)."""
+    keyed = signal.select(*keys, F.explode(F.sequence(F.lit(1), F.lit(surrogates))).alias("surrogate"), "series", "t", "v")
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("surrogate").cast("string"), F.col("series"), F.col("t").cast("string"), *(F.col(c).cast("string") for c in keys)))
+    by = Window.partitionBy(*keys, "surrogate", "series").orderBy(h, "t")
+    return keyed.withColumn("p", F.row_number().over(by) - 1).select(*keys, "surrogate", "series", F.col("p").alias("t"), "v")
 
 
-def surrogate_p(scores: DataFrame, signal: DataFrame, dims: list[str], max_lag: int, surrogates: int, seed: int) -> DataFrame:
+def surrogate_p(
+    scores: DataFrame, signal: DataFrame, dims: list[str], max_lag: int, surrogates: int, seed: int, keys: tuple[str, ...] = ()
+) -> DataFrame:
     """scores with p = (1 + surrogates that score as much) / (1 + surrogates); 1 on the diagonal."""
-    null = lagged_correlation(widen(permuted(signal, surrogates, seed), dims, ("surrogate",)), dims, max_lag, ("surrogate",))
-    both = null.select("src", "dst", F.col("score").alias("s")).join(scores.select("src", "dst", F.col("score").alias("real")), ["src", "dst"])
-    p = both.groupBy("src", "dst").agg(((F.sum((F.col("s") >= F.col("real")).cast("int")) + 1) / (surrogates + 1)).alias("p"))
-    return scores.join(p, ["src", "dst"]).withColumn("p", F.when(F.col("src") == F.col("dst"), 1.0).otherwise(F.col("p")))
+    pair, trial = [*keys, "src", "dst"], (*keys, "surrogate")
+    null = lagged_correlation(widen(permuted(signal, surrogates, seed, keys), dims, trial), dims, max_lag, trial)
+    both = null.select(*pair, F.col("score").alias("s")).join(scores.select(*pair, F.col("score").alias("real")), pair)
+    p = both.groupBy(*pair).agg(((F.sum((F.col("s") >= F.col("real")).cast("int")) + 1) / (surrogates + 1)).alias("p"))
+    return scores.join(p, pair).withColumn("p", F.when(F.col("src") == F.col("dst"), 1.0).otherwise(F.col("p")))
 
 
-def plain_p(scores: DataFrame) -> DataFrame:
+def _with_totals(df: DataFrame, totals: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Each row with the totals of its entity; without keys they are one row, which is broadcast."""
+    return df.join(totals, list(keys)) if keys else df.crossJoin(F.broadcast(totals))
+
+
+def _totals(df: DataFrame, keys: tuple[str, ...], *aggregates) -> DataFrame:
+    return df.groupBy(*keys).agg(*aggregates) if keys else df.agg(*aggregates)
+
+
+def plain_p(scores: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Without surrogates: p = 0 above mean + deviation of the off-diagonal scores, else 1."""
-    off = scores.where("src <> dst").agg((F.avg("score") + F.stddev_pop("score")).alias("bar"))
-    return scores.crossJoin(F.broadcast(off)).withColumn("p", F.when((F.col("src") != F.col("dst")) & (F.col("score") > F.col("bar")) & (F.col("score") > 0), 0.0).otherwise(1.0)).drop("bar")
+    off = _totals(scores.where("src <> dst"), keys, (F.avg("score") + F.stddev_pop("score")).alias("bar"))
+    high = (F.col("src") != F.col("dst")) & (F.col("score") > F.col("bar")) & (F.col("score") > 0)
+    return _with_totals(scores, off, keys).withColumn("p", F.when(high, 0.0).otherwise(1.0)).drop("bar")
 
 
-def edges(scores: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """src, dst, weight, lag, p of pairs above mean + deviation of the whole matrix (one row of totals is broadcast)."""
-    bar = scores.agg((F.avg("score") + F.stddev_pop("score")).alias("bar"))
+def edges(scores: DataFrame, alpha: float = 0.05, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, src, dst, weight, lag, p of pairs above mean + deviation of the whole matrix."""
+    bar = _totals(scores, keys, (F.avg("score") + F.stddev_pop("score")).alias("bar"))
     return (
-        scores.crossJoin(F.broadcast(bar)).where((F.col("src") != F.col("dst")) & (F.col("score") > F.col("bar")) & (F.col("p") <= alpha))
-        .select("src", "dst", F.col("score").alias("weight"), "lag", "p")
+        _with_totals(scores, bar, keys).where((F.col("src") != F.col("dst")) & (F.col("score") > F.col("bar")) & (F.col("p") <= alpha))
+        .select(*keys, "src", "dst", F.col("score").alias("weight"), "lag", "p")
     )
 
 
@@ -85,10 +98,12 @@ def directions(scores: DataFrame, confidence: float, least: float) -> DataFrame:
     return pairs.select("src", "dst", (F.col("p") <= F.lit(round(1 - confidence, 12))).alias("is_root"), label.alias("direction"))
 
 
-def influence_graph(scores: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """Significant edges; if there are none, the pairs above the threshold, without p and lag."""
-    good = edges(scores, alpha)
-    loose = edges(scores.withColumn("p", F.lit(0.0))).select("src", "dst", "weight", F.lit(None).cast("int").alias("lag"), F.lit(None).cast("double").alias("p"))
+def influence_graph(scores: DataFrame, alpha: float = 0.05, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Significant edges; of an entity that has none, the pairs above the threshold, without p and lag."""
+    good = edges(scores, alpha, keys)
+    loose = edges(scores.withColumn("p", F.lit(0.0)), keys=keys).select(*keys, "src", "dst", "weight", F.lit(None).cast("int").alias("lag"), F.lit(None).cast("double").alias("p"))
+    if keys:
+        return good.unionByName(loose.join(good.select(*keys).distinct(), list(keys), "left_anti"))
     some = good.agg((F.count(F.lit(1)) > 0).alias("some"))
     return good.unionByName(loose.crossJoin(F.broadcast(some)).where("not some").drop("some"))
 

@@ -38,10 +38,12 @@ def bundle(signal: DataFrame, horizon: int = 12, smoother: str = "koopman") -> D
                 "log_likelihood": float(f.loglik.sum()), "mean_log_likelihood": float(f.loglik.mean()), "innovation_rmse": float(np.sqrt((inn**2).mean())),
                 "mean_filtered_trace": float(np.trace(f.cov, axis1=1, axis2=2).mean()), "mean_smoothed_trace": float(np.trace(p, axis1=1, axis2=2).mean()),
             }
+            diag |= k.smoother_summary(m, s, p)
             rows += [("diag", n, 0, 0, v) for n, v in diag.items()]
             rows += [("system", n, int(a), int(b), float(x)) for n in "TQE" for (a, b), x in np.ndenumerate(getattr(m, n))]
             rows += [("filter", "state", t, i, float(v)) for (t, i), v in np.ndenumerate(f.state)] + [("filter", "loglik", t, 0, float(v)) for t, v in enumerate(f.loglik)]
             rows += [("smooth", "state", t, i, float(v)) for (t, i), v in np.ndenumerate(s)]
+            rows += [("smooth", n, t, i, float(v)) for n, x in (("shock", k.shocks(m, s)), ("observable", k.observables(m, s))) for (t, i), v in np.ndenumerate(x)]
             rows += [("irf", f"shock_{j}", h, i, float(v)) for j in range(m.R.shape[1]) for (h, i), v in np.ndenumerate(k.impulse(m, horizon, j))]
         except (ValueError, np.linalg.LinAlgError) as err:
             rows = [("error", str(err)[:200], 0, 0, float("nan"))]
@@ -139,11 +141,14 @@ def scalogram(signal: DataFrame, fs: float, most: int = 8_000_000) -> DataFrame:
     return signal.groupBy("series").applyInPandas(run, "series string, bin int, freq double, t int, power double")
 
 
-def persistence(signal: DataFrame, states: int = 4, least: float = 0.9) -> DataFrame:
-    """series, state, stay, stationary, persistent: quantile states and how likely each is kept."""
+def persistence(signal: DataFrame, states: int = 4, least: float = k.PERSISTENT, how: str = "kmeans") -> DataFrame:
+    """series, state, stay, stationary, persistent: states by k-means or quantile, by level, and how likely each is kept."""
+    if how not in ("kmeans", "quantile"):
+        raise ValueError("states come by kmeans or quantile")
+    of = k.kmeans_states if how == "kmeans" else k.quantile_states
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, pi = k.markov_chain(k.quantile_states(pdf.sort_values("t")["v"].to_numpy(float), states), states)
+        p, pi = k.markov_chain(of(pdf.sort_values("t")["v"].to_numpy(float), states), states)
         return pd.DataFrame({"series": pdf["series"].iloc[0], "state": range(states), "stay": np.diag(p), "stationary": pi, "persistent": np.diag(p) > least})
 
     return signal.groupBy("series").applyInPandas(run, "series string, state int, stay double, stationary double, persistent boolean")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from modalflow import views
@@ -96,6 +96,15 @@ def engine_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.analyse(_orders(spark, sf_dir), engine.Config(fs=12.0, window=48, state_space=False, multivariate=False))["depths"]
 
 
+@query
+def engine_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The influence graph of the event types, taken as the dimensions of one system per half of the month."""
+    e = views.hourly(spark, sf_dir)
+    dims = e.select("series").distinct().withColumn("dim", F.dense_rank().over(Window.orderBy("series")) - 1)
+    signal = e.join(F.broadcast(dims), "series").select(F.when(F.col("t") < 360, "early").otherwise("late").alias("series"), F.col("dim").cast("int").alias("dim"), "t", "v")
+    return engine.analyse(signal, engine.Config(fs=1.0, state_space=False, surrogates=19, max_lag=3))["edges"]
+
+
 @query
 def parameter_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.sweep(_orders(spark, sf_dir).drop("dim"), [2, 3], [1, 2], 48)

@@ -140,7 +140,8 @@ def forward_asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _reg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rg.merge(*views.schedules(spark, sf_dir))
+    """The views' schedules are groups by the key, so they meet in one shuffle."""
+    return rg.merge_unique(*views.schedules(spark, sf_dir))
 
 
 _REG_VALUES = [
@@ -162,10 +163,26 @@ def reg_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_REG + " SELECT rssd_id, report_date, legal_name, hub_country, " + _rounds(*_REG_VALUES) + " FROM reg")
 def reg_full_outer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rows by two chained full joins, the way for schedules that repeat a key."""
-    r = rg.merge(*views.schedules(spark, sf_dir), unique=False)
+    r = rg.merge(*views.schedules(spark, sf_dir))
     return show(r, "rssd_id", "report_date", "legal_name", "hub_country", **dict.fromkeys(_REG_VALUES, 4))
 
 
+@query(
+    _REG + """ SELECT rssd_id, report_date, round(coalesce(d.depth, 0), 4) AS depth FROM reg
+LEFT JOIN (SELECT CAST(n_nationkey AS VARCHAR) AS rssd_id, 0.1 * n_regionkey + 0.05 AS depth FROM nation WHERE n_regionkey <> 1) d USING (rssd_id)"""
+)
+def bank_depth_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each bank's depth beside its rows; banks that have none get 0."""
+    nation = views.table(spark, sf_dir, "nation").where("n_regionkey <> 1")
+    depths = nation.select(F.col("n_nationkey").cast("string").alias("rssd_id"), (F.lit(0.1) * F.col("n_regionkey") + 0.05).alias("depth"))
+    return show(rg.with_depth(_reg(spark, sf_dir), depths), "rssd_id", "report_date", depth=4)
+
+
+@query(_REG + " SELECT DISTINCT rssd_id FROM reg ORDER BY rssd_id LIMIT 20")
+def first_banks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rg.first_banks(_reg(spark, sf_dir))
+
+
 for _i, _kind in enumerate(("liq", "sec", "cap")):
 
     def _schedule(spark: SparkSession, sf_dir: str, i: int = _i) -> DataFrame:

@@ -1,5 +1,7 @@
 """Relational operators against kernels, recorded values and hand-made cases."""
 
+import datetime
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -9,7 +11,7 @@ from modalflow.functions import generators
 from modalflow.functions import kernels as k
 from modalflow.operators import backtest, depth, prep, rooting, spectral
 from modalflow.operators import regulatory as rg
-from modalflow.plans import governance
+from modalflow.plans import engine, governance
 from modalflow.sources import scans
 
 
@@ -49,6 +51,46 @@ def test_recorded_edges(spark):
     assert e["dim_0", "dim_1"]["p"] == pytest.approx(1 / 26)
 
 
+def test_core_analysis_gives_the_edges_of_every_series(spark):
+    """The recorded edges, next to a series of noise that has the loose edges and one of one dimension that is embedded."""
+    x = generators.coupled_oscillator()
+    noise = np.random.default_rng(3).standard_normal((800, 3))
+    rows = [(name, d, t, float(m[t, d])) for name, m in (("osc", x), ("noise", noise)) for t in range(800) for d in range(3)]
+    rows += [("flat", 0, t, float(np.sin(t / 3))) for t in range(120)]
+    signal = spark.createDataFrame(rows, "series string, dim int, t int, v double")
+    c = engine.Config(fs=200.0, ratio=0.2, window=256, surrogates=25, seed=42, max_lag=4, method="welch")
+    out = engine.analyse(signal, c)
+    assert set(out) == {"resonances", "depths", "beliefs", "scores", "edges", "states"}
+    scores = {(r["series"], r["src"], r["dst"]): r for r in out["scores"].collect()}
+    assert sum(k_[0] == "osc" for k_ in scores) == 9 and all(r["p"] == 1 for k_, r in scores.items() if k_[1] == k_[2])
+    edges = {(r["series"], r["src"], r["dst"]): r for r in out["edges"].collect()}
+    osc = {k_[1:]: r for k_, r in edges.items() if k_[0] == "osc"}
+    assert set(osc) == {("0", "1"), ("1", "0")}
+    assert osc["0", "1"]["weight"] == pytest.approx(0.9975467078733149, abs=1e-9) and osc["0", "1"]["lag"] == 2 and osc["0", "1"]["p"] == pytest.approx(1 / 26)
+    assert all(r["p"] is None or r["p"] <= 0.05 for r in edges.values()) and any(k_[0] == "flat" for k_ in edges)
+    plain = engine.analyse(signal, engine.Config(fs=200.0, window=256, surrogates=0, state_space=False))["scores"].collect()
+    assert {r["p"] for r in plain} <= {0.0, 1.0}
+    with pytest.raises(ValueError):
+        engine.Config(max_lag=0)
+
+
+def test_merge_keeps_repeated_rows_and_the_short_way_refuses_them(spark):
+    cols = "rssd_id string, report_date date, "
+    day = datetime.date(2020, 3, 31)
+    liq = spark.createDataFrame([("1", day, 1.0, 2.0), ("2", day, 3.0, None)], cols + "ral_overnight_repo double, ral_term_repo double")
+    sec = spark.createDataFrame([("1", day, 5.0, 6.0), ("3", day, 7.0, 8.0)], cols + "hc_b_afs_securities double, hc_b_htm_securities double")
+    cap = spark.createDataFrame([("1", day, 9.0), ("1", day, 10.0)], cols + "hc_r_cet1 double")
+    key = lambda df: sorted(map(repr, df.select(*sorted(df.columns)).collect()))
+    every = rg.merge(liq, sec, cap)
+    assert every.count() == 4 and sorted(r["hc_r_cet1"] for r in every.where("rssd_id = '1'").collect()) == [9.0, 10.0]
+    assert key(rg.merge_unique(liq, sec, cap.limit(1))) == key(rg.merge(liq, sec, cap.limit(1)))
+    with pytest.raises(Exception, match="more than once"):
+        rg.merge_unique(liq, sec, cap).collect()
+    none = spark.createDataFrame([(None, day, 1.0)], cols + "hc_r_cet1 double")
+    with pytest.raises(Exception, match="null"):
+        rg.merge_unique(liq, sec, none).collect()
+
+
 def test_constant_columns_score_nothing(spark):
     long = spark.createDataFrame([(d, t, 1.0 if d == "b" else float(t % 5)) for t in range(30) for d in "ab"], "series string, t int, v double")
     s = rooting.lagged_correlation(rooting.widen(long, ["a", "b"]), ["a", "b"], 2)
@@ -87,7 +129,7 @@ def test_merge_keeps_rows_of_any_schedule(spark):
     liq = spark.createDataFrame([("1", d, "A", "GB", 1.0, 2.0, 3.0)], key + ", legal_name string, hub_country string, ral_overnight_repo double, ral_eurusd_borr double, ral_term_repo double")
     sec = spark.createDataFrame([("2", d, 1.0, 1.0, 5.0, 5.0)], key + ", hc_b_afs_securities double, hc_b_htm_securities double, hc_b_afs_duration double, hc_b_htm_duration double")
     cap = spark.createDataFrame([("1", d, 6.5, 0.0, 0.1), ("3", d, 6.5, 100.0, 0.1)], key + ", hc_r_cet1 double, hc_r_rwa double, hc_r_aoci double")
-    one, two = (rg.merge(liq, sec, cap, u) for u in (True, False))
+    one, two = (f(liq, sec, cap) for f in (rg.merge_unique, rg.merge))
     assert sorted(map(str, one.select(*two.columns).collect())) == sorted(map(str, two.collect()))
     assert one.count() == 3 and rg.unique_on_key(cap)
     shock = rg.rate_shock(one, [200.0]).where("aoci_mode = 'opt_out'").collect()
