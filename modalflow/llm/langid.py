@@ -8,9 +8,11 @@ become one space, and the parse restarts every BLOCK bytes, for all languages
 alike, so that long texts are parsed in bounded memory and many blocks advance
 together as NumPy arrays.
 
-The fit takes at most `rows_per_lang` labelled documents and `bytes_per_lang` bytes
-of each language, chosen by hash order; those are parameters of the fit. Every
-whole text is scored.
+The fit takes about `bytes_per_lang` bytes of each language from at most `rows_per_lang`
+labelled documents, chosen by hash order; of each an even share, from a place that a hash
+chooses, so that a long text teaches as well as a short one and headers that texts share
+teach no more than the rest. Both are parameters of the fit; a worker's tables grow with
+the number of languages. Every whole text, however long, is scored.
 
 Defined results: `und` with score 0 if the text is null or has no letter, or if no
 row teaches a language; a tie goes to the language that sorts first; repeated rows
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from modalflow.llm.common import LOWER_ALNUM, crc_mod
@@ -130,29 +132,33 @@ def pieces(folded: list[bytes], samples: list[tuple[str, bytes]]) -> np.ndarray:
     return out
 
 
-def fit(
-    documents: DataFrame, rows_per_lang: int = 200, bytes_per_lang: int = 40_000, max_row_bytes: int = 1 << 14
-) -> list[tuple[str, bytes]]:
+def fit(documents: DataFrame, rows_per_lang: int = 100, bytes_per_lang: int = 40_000) -> list[tuple[str, bytes]]:
     """(language, folded sample) for each language that the training rows name."""
     train = documents.select("doc_id", "text", "lang").where(
-        F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", MODULUS) != HELD_OUT) & (F.octet_length("text") <= max_row_bytes)
+        F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", MODULUS) != HELD_OUT)
     )
     sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return []
+
+    def by_lang(value) -> F.Column:
+        return F.create_map(*(F.lit(x) for k, n in sorted(sizes.items()) for x in (k, value(n))))[F.col("lang")]
+
     # Each language's rows below a hash bound, so that about twice the rows wanted are read by no sort at all.
     scale = 1 << 30
-    bound = F.create_map(*(F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(scale, 2 * rows_per_lang * scale // n))))
+    share = {k: bytes_per_lang // min(rows_per_lang, n) for k, n in sizes.items()}
     h = F.pmod(F.xxhash64("doc_id"), F.lit(scale))
-    rows = train.where(h < bound[F.col("lang")]).select("lang", "text", "doc_id", h.alias("h")).collect()
-    out = []
-    for lang in sorted(sizes):
-        got = sorted({(r["h"], r["doc_id"], r["text"]) for r in rows if r["lang"] == lang})[:rows_per_lang]
-        each = max(200, bytes_per_lang // max(1, len(got)))
-        # An even share of every chosen row, so that one long or mislabelled row can't fill a sample.
-        sample = b" ".join(fold(t)[:each] for _, _, t in got)
-        out.append((lang, sample[: 2 * bytes_per_lang]))
-    return out
+    length = 2 * by_lang(lambda n: bytes_per_lang // min(rows_per_lang, n))
+    start = 1 + F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), F.length("text") - length + 1))
+    some = train.where(h < by_lang(lambda n: min(scale, 2 * rows_per_lang * scale // n))).select(
+        "lang", "doc_id", h.alias("h"), F.substring(F.col("text"), start.cast("int"), length.cast("int")).alias("piece")
+    ).distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "piece"))
+    rows = some.withColumn("rank", rank).where(F.col("rank") <= rows_per_lang).orderBy("lang", "rank").collect()
+    return [
+        (lang, b" ".join(fold(r["piece"])[: share[lang]] for r in rows if r["lang"] == lang))
+        for lang in sorted(sizes)
+    ]
 
 
 def predict(documents: DataFrame, samples: list[tuple[str, bytes]]) -> DataFrame:

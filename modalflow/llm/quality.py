@@ -6,8 +6,8 @@ histogram and adds it to that feature's lookup table. Then the pairs with the
 largest remaining gain get two-way tables in the same way, from trees of depth two.
 A score is a sum of table cells, read by vectorised bin numbers.
 
-The fit takes at most `rows` labelled documents (a parameter); every whole text is
-scored where it is read, without a shuffle.
+The fit takes at most `rows` labelled documents of at most 64 KB (parameters); every
+whole text, however long, is scored where it is read, without a shuffle.
 
 Defined results: a null or empty text has the features of an empty one and is
 scored by them; if training rows hold one class only, the score is its share (0.5

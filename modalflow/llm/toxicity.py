@@ -7,8 +7,8 @@ voter fires in either class and, through a maximum spanning tree of conditional
 mutual information, how voters depend on one another. A linear classifier then
 learns the posterior labels, and its scale is set on the training labels.
 
-The fit takes at most `rows` labelled documents (a parameter); every whole text is
-scored where it is read, without a shuffle.
+The fit takes at most `rows` labelled documents of at most 64 KB (parameters); every
+whole text, however long, is scored where it is read, without a shuffle.
 
 Defined results: a null or empty text is scored as one on which no voter fires; if
 no training row is toxic or none is clean, the score is the share of toxic rows (0

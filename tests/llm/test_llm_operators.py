@@ -199,6 +199,73 @@ def test_language_pieces_are_greedy_longest_matches():
     assert langid.pieces([text], [("x", sample)])[0, 0] == n
 
 
+def brute_language(samples, text):
+    """(language, score) of one text by greedy longest matches, one language after the other."""
+    f = langid.fold(text or "")
+    if not any(map(str.isalpha, text or "")) or not samples:
+        return "und", 0.0
+    counts = []
+    for _, sample in samples:
+        n = 0
+        for s in range(0, len(f), langid.BLOCK):
+            block, at = f[s : s + langid.BLOCK], 0
+            while at < len(block):
+                k = 1
+                while at + k < len(block) and block[at : at + k + 1] in sample:
+                    k += 1
+                n, at = n + 1, at + k
+        counts.append(n)
+    rate = [c / len(f) for c in counts]
+    best = counts.index(min(counts))
+    return samples[best][0], 1 / sum(math.exp(-(x - rate[best]) * min(len(f), 400)) for x in rate)
+
+
+def test_language_predictions_equal_brute_force(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    samples = langid.fit(d, rows_per_lang=4, bytes_per_lang=600)
+    assert 1 < len(samples) <= 6 and all(0 < len(x) <= 700 for _, x in samples)
+    rows = [(r["doc_id"], r["text"]) for r in d.select("doc_id", "text").collect()] + [(-1, None), (-2, "123 !"), (-3, "Ωμέγα"), (-4, "x" * 5000)]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(spark.createDataFrame(rows, "doc_id long, text string"), samples).collect()}
+    for i, t in rows:
+        lang, score = brute_language(samples, t)
+        assert got[i][0] == lang and got[i][1] == pytest.approx(score), (i, t)
+
+
+def test_language_learns_from_long_texts_and_past_a_shared_header(spark):
+    head = "shared header of every text in this source " * 20
+    rows = [(i, head + prose(i, 60) + " zyx wvu tsr " * 3000, "qq") for i in range(40)] + [(100 + i, head + "abba baab " * 300, "rr") for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    samples = dict(langid.fit(d))
+    assert b"zyx wvu" in samples["qq"] and b"abba" in samples["rr"]
+    new = spark.createDataFrame([(1, "zyx wvu tsr zyx"), (2, "abba baab abba baab")], "doc_id long, text string")
+    assert [r["lang_pred"] for r in langid.predict(new, sorted(samples.items())).orderBy("doc_id").collect()] == ["qq", "rr"]
+
+
+def test_quality_scores_are_sums_of_table_cells(spark):
+    d, lab = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(d, lab)
+    assert model.tables and len(model.pairs) == quality.PAIRS
+    texts = [r["text"] for r in d.limit(40).collect()] + [None, "", "word " * 20000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dict(quality.score(df, model).collect())
+    for i, t in enumerate(texts):
+        x = quality.features((t or "").encode())
+        cell = lambda cut, v: sum(v >= c for c in cut)
+        logit = model.bias + sum(t_[cell(c, v)] for c, t_, v in zip(model.cuts, model.tables, x, strict=True))
+        logit += sum(t_[cell(model.pair_cuts[a], x[a]), cell(model.pair_cuts[b], x[b])] for a, b, t_ in model.pairs)
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-max(-40, min(40, logit))))), i
+
+
+def test_quality_training_finds_a_rule_and_an_interaction():
+    r = np.random.default_rng(6)
+    x = r.random((1500, 4))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    m = quality.train(x, y)
+    assert ((m.score(x) >= 0.5) == y).mean() > 0.95 and m.pairs[0][:2] == (1, 0)
+    one = quality.train(x, np.ones(1500))
+    assert (one.score(x) > 0.99).all()
+
+
 def test_language_edge_cases(docs, no_docs):
     got = {(r["doc_id"], r["lang_pred"]) for r in langid.digest(docs).collect()}
     assert (4, "und") in got and (5, "und") in got and (19, "und") in got and (1, "en") in got
