@@ -11,7 +11,7 @@ from modalflow.functions.columns import rounded
 from modalflow.operators import depth, prep
 from modalflow.operators import regulatory as rg
 from modalflow.operators import statespace as ss
-from modalflow.plans import engine
+from modalflow.plans import engine, recipes
 from modalflow.sources import scans
 from modalflow.streaming import live
 
@@ -105,6 +105,25 @@ def engine_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.analyse(signal, engine.Config(fs=1.0, state_space=False, surrogates=19, max_lag=3))["edges"]
 
 
+@query
+def physics_recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recipes.physics_lab(spark)["resonance_map"]
+
+
+@query
+def state_space_recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state-space laboratory at an eighth of its size; metric, value."""
+    found = recipes.state_space_lab(n=100, draws=40, particles=400)
+    return spark.createDataFrame(sorted(found.items()), "metric string, value double")
+
+
+@query
+def depth_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and largest depth and the number of edges of every series of monthly orders."""
+    out = engine.analyse(_orders(spark, sf_dir), engine.Config(fs=12.0, window=48, state_space=False, surrogates=9))
+    return recipes.result_tables(out)["summary"]
+
+
 @query
 def parameter_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.sweep(_orders(spark, sf_dir).drop("dim"), [2, 3], [1, 2], 48)

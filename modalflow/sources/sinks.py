@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import dataclasses
 import json
+import math
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 
@@ -33,9 +36,36 @@ def append_review(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def plain(value, leave_out: tuple[str, ...] = ("cov", "predicted_cov")):
+    """Any result as values that JSON knows: rows, records, arrays, sets, dates; covariance tensors are left out, what is not finite is null."""
+    if dataclasses.is_dataclass(value) and not isinstance(value, type):
+        value = {f.name: getattr(value, f.name) for f in dataclasses.fields(value)}
+    elif isinstance(value, Row):
+        value = value.asDict()
+    if isinstance(value, dict):
+        return {str(k): plain(v, leave_out) for k, v in value.items() if k not in leave_out}
+    if isinstance(value, np.ndarray | np.generic):
+        value = value.tolist()
+    if isinstance(value, set | frozenset):
+        value = sorted(value, key=repr)
+    if isinstance(value, list | tuple):
+        return [plain(v, leave_out) for v in value]
+    if isinstance(value, float) and not math.isfinite(value):
+        return None
+    if value is None or isinstance(value, str | int | float | bool):
+        return value
+    return value.isoformat() if hasattr(value, "isoformat") else str(value)
+
+
+def write_config(path: str, config: dict) -> None:
+    """A config that `scans.from_config` reads, as JSON text (which YAML readers take too)."""
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(json.dumps(plain(config), indent=2, sort_keys=True) + "\n")
+
+
 def write_report(path: str, report: dict, text: str) -> None:
     """A small collected summary as JSON (sorted keys) and Markdown."""
     p = Path(path)
     p.parent.mkdir(parents=True, exist_ok=True)
-    p.with_suffix(".json").write_text(json.dumps(report, indent=2, sort_keys=True, default=str))
+    p.with_suffix(".json").write_text(json.dumps(plain(report), indent=2, sort_keys=True))
     p.with_suffix(".md").write_text(text)
