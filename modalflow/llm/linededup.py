@@ -4,7 +4,8 @@ A line is trimmed of spaces, lower-cased and split at spaces. A line of at least
 `min_words` words is dropped if an earlier line (by doc_id, then place) is at word edit
 distance 0 or 1 from it, whether or not that line is itself kept; shorter lines stay.
 A document is a doc_id with its text: of texts that share an id, a hash of the text
-tells which is earlier, and rows that share both are one document.
+tells which is earlier, and rows that share both are one document. Where no id repeats,
+the hash decides nothing, and a constant takes its place in the shuffles.
 
 Equal lines meet by two 64-bit hashes; each distinct line goes on with its earliest
 place. Lines at distance 1 agree in one half, so lines whose halves no other line has
@@ -41,11 +42,20 @@ def _words(line: Column) -> Column:
     return F.split(F.lower(F.trim(line)), " ")
 
 
-def _lines(documents: DataFrame, min_words: int) -> DataFrame:
+def _owned(documents: DataFrame) -> tuple[DataFrame, bool]:
+    """doc_id, text_hash, text of the documents that take part, and whether an id repeats."""
+    docs = documents.where("doc_id is not null and text is not null")
+    repeats = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
+    own = F.xxhash64("text") if repeats else F.lit(0).cast("long")
+    return docs.select("doc_id", own.alias("text_hash"), "text"), repeats
+
+
+def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     """doc_id, text_hash, pos, w (words), n: lines that take part."""
+    # The hash is made before the lines are: once a text.
+    split = docs.select(*OWNER, F.split("text", "\n").alias("lines"))
     return (
-        documents.where("doc_id is not null and text is not null")
-        .select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+        split.select(*OWNER, F.posexplode("lines").alias("pos", "line"))
         .select(*OWNER, "pos", _words(F.col("line")).alias("w"))
         .withColumn("n", F.size("w")).where(F.col("n") >= min_words)
     )
@@ -66,9 +76,10 @@ def _keyed(lines: DataFrame) -> DataFrame:
 
 
 def dropped_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, text_hash, pos (from 0) of every line to drop."""
+    """doc_id, text_hash (null where no id repeats), pos (from 0) of every line to drop."""
     scratch = Scratch(documents.sparkSession)
-    keyed = _keyed(_lines(documents, min_words))
+    docs, repeats = _owned(documents)
+    keyed = _keyed(_lines(docs, min_words))
     place = F.struct(*OWNER, "pos")
     uniq = scratch.save(keyed.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("halves").alias("halves")), "uniq")
     # Later copies of a line: only lines that occur twice go on to the join.
@@ -83,7 +94,7 @@ def dropped_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame
         .groupBy(*OWNER).agg(F.collect_list(F.struct("pos", "late", "early")).alias("near"))
     )
     open_ = scratch.save(
-        documents.where("text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n").alias("lines")).join(near, OWNER)
+        docs.select(*OWNER, F.split("text", "\n").alias("lines")).join(near, OWNER)
         .select(*OWNER, F.explode(F.transform("near", lambda x: F.struct(x["pos"].alias("pos"), x["late"].alias("late"), x["early"].alias("early"), F.element_at("lines", x["pos"] + 1).alias("line")))).alias("x"))
         .select(F.struct(*OWNER, "x.pos").alias("at"), "x.late", "x.early", _words(F.col("x.line")).alias("w"))
         .dropDuplicates(["at"]), "open",
@@ -104,7 +115,8 @@ def dropped_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame
     verified = (
         pairs.join(text, "at").join(text.select(F.col("at").alias("by"), F.col("w").alias("u")), "by").where(within_one(F.col("w"), F.col("u"))).select("at.*")
     )
-    return scratch.save(copies.unionByName(verified), "dropped")
+    every = copies.unionByName(verified)
+    return scratch.save(every if repeats else every.withColumn("text_hash", F.lit(None).cast("long")), "dropped")
 
 
 def _variants(open_: DataFrame) -> DataFrame:
@@ -147,8 +159,9 @@ def without(documents: DataFrame, dropped: DataFrame) -> tuple[DataFrame, str, s
     )
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda _, i: F.coalesce(F.substring(F.col(marks), i + 1, F.lit(1)) != F.lit(b"1"), F.lit(True)))
+    same = F.col(own).isNull() | (F.xxhash64("text") == F.col(own))
     out = (
-        documents.join(marked, (F.col("doc_id") == F.col(key)) & (F.xxhash64("text") == F.col(own)), "left")
+        documents.join(marked, (F.col("doc_id") == F.col(key)) & same, "left")
         .withColumn(n_lines, F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"))
         .withColumn("text", F.when(F.col(marks).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
         .withColumn(n_dropped, F.coalesce(n_dropped, F.lit(0).cast("long")))
