@@ -5,7 +5,7 @@ A line is trimmed of spaces, lower-cased and split at spaces. A line of at least
 distance 0 or 1 from it, whether or not that line is itself kept; shorter lines stay.
 A document is a doc_id with its text: of texts that share an id, a hash of the text
 tells which is earlier, and rows that share both are one document. Where no id repeats,
-the hash decides nothing, and a constant takes its place in the shuffles.
+the hash decides nothing and is left out of the shuffles.
 
 Equal lines meet by two 64-bit hashes; each distinct line goes on with its earliest
 place. Lines at distance 1 agree in one half, so lines whose halves no other line has
@@ -42,30 +42,29 @@ def _words(line: Column) -> Column:
     return F.split(F.lower(F.trim(line)), " ")
 
 
-def _owned(documents: DataFrame) -> tuple[DataFrame, bool]:
-    """doc_id, text_hash, text of the documents that take part, and whether an id repeats."""
-    docs = documents.where("doc_id is not null and text is not null")
+def _owned(documents: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The documents that take part, and the columns that tell one from another: doc_id, and text_hash where an id repeats."""
+    docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
     repeats = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
-    own = F.xxhash64("text") if repeats else F.lit(0).cast("long")
-    return docs.select("doc_id", own.alias("text_hash"), "text"), repeats
+    return (docs.withColumn("text_hash", F.xxhash64("text")), OWNER) if repeats else (docs, OWNER[:1])
 
 
-def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, text_hash, pos, w (words), n: lines that take part."""
+def _lines(docs: DataFrame, owner: list[str], min_words: int) -> DataFrame:
+    """owner, pos, w (words), n: lines that take part."""
     # The hash is made before the lines are: once a text.
-    split = docs.select(*OWNER, F.split("text", "\n").alias("lines"))
+    split = docs.select(*owner, F.split("text", "\n").alias("lines"))
     return (
-        split.select(*OWNER, F.posexplode("lines").alias("pos", "line"))
-        .select(*OWNER, "pos", _words(F.col("line")).alias("w"))
+        split.select(*owner, F.posexplode("lines").alias("pos", "line"))
+        .select(*owner, "pos", _words(F.col("line")).alias("w"))
         .withColumn("n", F.size("w")).where(F.col("n") >= min_words)
     )
 
 
-def _keyed(lines: DataFrame) -> DataFrame:
+def _keyed(lines: DataFrame, owner: list[str]) -> DataFrame:
     n, w = F.col("n"), F.col("w")
     h, g = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
     return lines.select(
-        *OWNER, "pos", "n", F.xxhash64(w).alias("k1"), F.xxhash64(F.lit(1), w).alias("k2"),
+        *owner, "pos", "n", F.xxhash64(w).alias("k1"), F.xxhash64(F.lit(1), w).alias("k2"),
         F.array(
             F.xxhash64(n, F.lit("p"), F.slice(w, F.lit(1), h)),
             F.xxhash64(n, F.lit("s"), F.slice(w, h + 1, n)),
@@ -78,25 +77,25 @@ def _keyed(lines: DataFrame) -> DataFrame:
 def dropped_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text_hash (null where no id repeats), pos (from 0) of every line to drop."""
     scratch = Scratch(documents.sparkSession)
-    docs, repeats = _owned(documents)
-    keyed = _keyed(_lines(docs, min_words))
-    place = F.struct(*OWNER, "pos")
+    docs, owner = _owned(documents)
+    keyed = _keyed(_lines(docs, owner, min_words), owner)
+    place = F.struct(*owner, "pos")
     uniq = scratch.save(keyed.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("halves").alias("halves")), "uniq")
     # Later copies of a line: only lines that occur twice go on to the join.
     twice = uniq.where("copies > 1").select("k1", "k2", "first")
-    copies = keyed.select("k1", "k2", *OWNER, "pos").join(twice, ["k1", "k2"]).where(place > F.col("first")).select(*OWNER, "pos")
+    copies = keyed.select("k1", "k2", *owner, "pos").join(twice, ["k1", "k2"]).where(place > F.col("first")).select(*owner, "pos")
 
     half = uniq.select("first.*", F.posexplode("halves").alias("side", "half"))
     shared = half.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half")
     near = (
-        half.join(shared, "half").groupBy(*OWNER, "pos")
+        half.join(shared, "half").groupBy(*owner, "pos")
         .agg(F.max(F.col("side") % 2 == 0).alias("late"), F.max(F.col("side") % 2 == 1).alias("early"))
-        .groupBy(*OWNER).agg(F.collect_list(F.struct("pos", "late", "early")).alias("near"))
+        .groupBy(*owner).agg(F.collect_list(F.struct("pos", "late", "early")).alias("near"))
     )
     open_ = scratch.save(
-        docs.select(*OWNER, F.split("text", "\n").alias("lines")).join(near, OWNER)
-        .select(*OWNER, F.explode(F.transform("near", lambda x: F.struct(x["pos"].alias("pos"), x["late"].alias("late"), x["early"].alias("early"), F.element_at("lines", x["pos"] + 1).alias("line")))).alias("x"))
-        .select(F.struct(*OWNER, "x.pos").alias("at"), "x.late", "x.early", _words(F.col("x.line")).alias("w"))
+        docs.select(*owner, F.split("text", "\n").alias("lines")).join(near, owner)
+        .select(*owner, F.explode(F.transform("near", lambda x: F.struct(x["pos"].alias("pos"), x["late"].alias("late"), x["early"].alias("early"), F.element_at("lines", x["pos"] + 1).alias("line")))).alias("x"))
+        .select(F.struct(*owner, "x.pos").alias("at"), "x.late", "x.early", _words(F.col("x.line")).alias("w"))
         .dropDuplicates(["at"]), "open",
     )
     variants = scratch.save(_variants(open_), "variants")
@@ -116,7 +115,7 @@ def dropped_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame
         pairs.join(text, "at").join(text.select(F.col("at").alias("by"), F.col("w").alias("u")), "by").where(within_one(F.col("w"), F.col("u"))).select("at.*")
     )
     every = copies.unionByName(verified)
-    return scratch.save(every if repeats else every.withColumn("text_hash", F.lit(None).cast("long")), "dropped")
+    return scratch.save(every if owner == OWNER else every.select("doc_id", F.lit(None).cast("long").alias("text_hash"), "pos"), "dropped")
 
 
 def _variants(open_: DataFrame) -> DataFrame:
