@@ -51,10 +51,8 @@ def _owned(documents: DataFrame) -> tuple[DataFrame, list[str]]:
 
 def _lines(docs: DataFrame, owner: list[str], min_words: int) -> DataFrame:
     """owner, pos, w (words), n: lines that take part."""
-    # The hash is made before the lines are: once a text.
-    split = docs.select(*owner, F.split("text", "\n").alias("lines"))
     return (
-        split.select(*owner, F.posexplode("lines").alias("pos", "line"))
+        docs.select(*owner, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
         .select(*owner, "pos", _words(F.col("line")).alias("w"))
         .withColumn("n", F.size("w")).where(F.col("n") >= min_words)
     )
