@@ -76,7 +76,8 @@ def dropped_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame
     """doc_id, text_hash (null where no id repeats), pos (from 0) of every line to drop."""
     scratch = Scratch(documents.sparkSession)
     docs, owner = _owned(documents)
-    keyed = _keyed(_lines(docs, owner, min_words), owner)
+    # Lines are split and hashed once: both the grouping and the search for copies read the written keys.
+    keyed = scratch.save(_keyed(_lines(docs, owner, min_words), owner), "keyed")
     place = F.struct(*owner, "pos")
     uniq = scratch.save(keyed.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("halves").alias("halves")), "uniq")
     # Later copies of a line: only lines that occur twice go on to the join.
@@ -113,7 +114,10 @@ def dropped_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame
         pairs.join(text, "at").join(text.select(F.col("at").alias("by"), F.col("w").alias("u")), "by").where(within_one(F.col("w"), F.col("u"))).select("at.*")
     )
     every = copies.unionByName(verified)
-    return scratch.save(every if owner == OWNER else every.select("doc_id", F.lit(None).cast("long").alias("text_hash"), "pos"), "dropped")
+    dropped = scratch.save(every if owner == OWNER else every.select("doc_id", F.lit(None).cast("long").alias("text_hash"), "pos"), "dropped")
+    for table in (keyed, uniq, open_, variants):
+        scratch.free(table)
+    return dropped
 
 
 def _variants(open_: DataFrame) -> DataFrame:
