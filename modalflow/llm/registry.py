@@ -62,5 +62,6 @@ ORACLES = {
     "op2_decontamination": decontam.ORACLE,
     "op4_line_dedup": linededup.ORACLE,
     "op5_embedding_dedup": embedding.ORACLE,
+    "op6_suffix_dedup": suffix.ORACLE,
     "op9_minhash_dedup": minhash.ORACLE,
 }

@@ -411,3 +411,22 @@ def brute_force(rows: list[tuple[int | None, str | None]], length: int = LENGTH)
         spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
         out.append((i, len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
     return out
+
+
+#: The rows of `digest` for unique doc_ids. Strings are taken as hexadecimal digits from pieces of 1,000 bytes.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, h, length(h) // 2 AS n_bytes FROM d),
+p AS (SELECT doc_id, k * 1000 AS base, substr(h, k * 2000 + 1, 2098) AS c FROM n, unnest(range(0, (n_bytes + 999) // 1000)) AS r(k)),
+s AS MATERIALIZED (SELECT doc_id, base + i AS pos, substr(c, 2 * i + 1, 100) AS w FROM p, unnest(range(0, least(1000, length(c) // 2 - 49))) AS r(i)),
+m AS (SELECT w, min(doc_id) AS first FROM s GROUP BY w HAVING min(doc_id) < max(doc_id)),
+x AS (SELECT s.doc_id, s.pos FROM s JOIN m ON s.w = m.w WHERE s.doc_id > m.first),
+y AS (SELECT doc_id, pos, CASE WHEN pos <= lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 50 THEN 0 ELSE 1 END AS fresh FROM x),
+z AS (SELECT doc_id, pos, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM y),
+g AS (SELECT doc_id, min(pos) AS a, max(pos) + 50 AS b FROM z GROUP BY doc_id, run),
+k AS (
+  SELECT doc_id, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a, b) AS a, a AS b
+  FROM (SELECT doc_id, a, b FROM g UNION ALL SELECT doc_id, n_bytes, n_bytes + 1 FROM n)),
+c AS (SELECT k.doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a, b) AS kept, count(*) - 1 AS n_spans FROM k JOIN n ON n.doc_id = k.doc_id GROUP BY 1)
+SELECT n.doc_id, n_bytes, n_bytes - length(kept) // 2 AS n_removed, n_spans, sha256(unhex(kept)) AS kept_sha256 FROM n JOIN c ON c.doc_id = n.doc_id
+"""
