@@ -23,9 +23,8 @@ def lagged_correlation(wide: DataFrame, dims: list[str], max_lag: int, keys: tup
 
     The least lag wins a tie; a constant side scores 0; the diagonal is 0 at lag 0.
     """
-    by = Window.partitionBy(*keys).orderBy("t")
     n = len(dims)
-    lead = wide.select(*keys, *(f"d{i}" for i in range(n)), *(F.lead(f"d{j}", k).over(by).alias(f"d{j}_{k}") for j in range(n) for k in range(1, max_lag + 1)))
+    lead = _leads(wide, [f"d{i}" for i in range(n)], max_lag, keys)
     cells = [
         F.struct(F.lit(dims[i]).alias("src"), F.lit(dims[j]).alias("dst"), F.lit(k).alias("lag"), F.col(f"d{i}").alias("x"), F.col(f"d{j}_{k}").alias("y"))
         for i in range(n) for j in range(n) if i != j for k in range(1, max_lag + 1)
@@ -45,6 +44,40 @@ def lagged_correlation(wide: DataFrame, dims: list[str], max_lag: int, keys: tup
     return pairs.unionByName(own.select(*keys, "src", F.col("src").alias("dst"), F.lit(0.0).alias("score"), F.lit(0).alias("lag")))
 
 
+def correlation(wide: DataFrame, dims: list[str]) -> DataFrame:
+    """x, y, r: Pearson of every pair of dimensions over the steps that have both; null where a side is constant.
+
+    A wide row becomes its pairs in place, so the shuffle moves one row of sums per pair and task.
+    """
+    cells = [F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"d{i}").alias("a"), F.col(f"d{j}").alias("b")) for i, x in enumerate(dims) for j, y in enumerate(dims)]
+    both = wide.select(F.inline(F.array(*cells))).where("a is not null and b is not null")
+    sums = both.groupBy("x", "y").agg(F.covar_pop("a", "b").alias("c"), F.stddev_pop("a").alias("sa"), F.stddev_pop("b").alias("sb"))
+    return sums.select("x", "y", F.try_divide("c", F.col("sa") * F.col("sb")).alias("r"))
+
+
+def _leads(wide: DataFrame, columns: list[str], most: int, keys: tuple[str, ...], size: int = 1 << 16) -> DataFrame:
+    """keys, `columns`, and c_1 to c_most of each column: its values so many rows later by t.
+
+    Rows without keys are one long series. They are numbered by spans of t (a row of counts for each span gives the
+    numbers their start), and cut to chunks of `size` rows that also hold the first `most` rows of the next one, so no task
+    sorts the whole series.
+    """
+    if keys:
+        by, rows, own = Window.partitionBy(*keys).orderBy("t"), wide, F.lit(True)
+    else:
+        span = wide.withColumn("_span", F.floor(F.col("t") / size))
+        counts = span.groupBy("_span").agg(F.count(F.lit(1)).alias("n"))
+        starts = counts.select("_span", (F.sum("n").over(Window.orderBy("_span")) - F.col("n")).alias("_start"))
+        number = F.row_number().over(Window.partitionBy("_span").orderBy("t")) - 1
+        place = span.withColumn("_in", number).join(starts, "_span").withColumn("_place", F.col("_start") + F.col("_in"))
+        chunk = F.floor(F.col("_place") / size)
+        early = (F.col("_place") % size < most) & (chunk > 0)
+        rows = place.withColumn("_chunk", F.explode(F.when(early, F.array(chunk, chunk - 1)).otherwise(F.array(chunk))))
+        by, own = Window.partitionBy("_chunk").orderBy("_place"), F.col("_chunk") == chunk
+    later = [F.lead(c, k).over(by).alias(f"{c}_{k}") for c in columns for k in range(1, most + 1)]
+    return rows.select(*keys, *columns, *later, own.alias("_own")).where("_own").drop("_own")
+
+
 def permuted(signal: DataFrame, surrogates: int, seed: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """keys, surrogate, series, t, v: each series' values in the order of a hash of (seed, surrogate, series, t, keys)."""
     keyed = signal.select(*keys, F.explode(F.sequence(F.lit(1), F.lit(surrogates))).alias("surrogate"), "series", "t", "v")

@@ -12,6 +12,8 @@ from modalflow.operators import depth, prep
 from modalflow.operators import regulatory as rg
 from modalflow.operators import statespace as ss
 from modalflow.plans import engine, recipes
+from modalflow.queries.panels import ORDERS_SQL
+from modalflow.queries.signals import depth_sql, detect_sql, lag_sql, show
 from modalflow.sources import scans
 from modalflow.streaming import live
 
@@ -88,12 +90,48 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def live_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return live.batch(points(spark, sf_dir), live.Live(window=10, stride=3))
+    return show(live.batch(points(spark, sf_dir), live.Live(window=10, stride=3)), "series", "n", "dim", "is_anomaly", "error", f0=4, depth=4)
+
+
+ORACLES["live_batch"] = (
+    views.with_views("ed")
+    + """, lv AS (
+  SELECT e.series || chr(2) || (k * 3 + 10) AS series, e.t - k * 3 AS t, e.v
+  FROM ed e JOIN (SELECT unnest(range(0, (max(t) + 1 - 10) // 3 + 1)) AS k FROM ed) ON e.t >= k * 3 AND e.t < k * 3 + 10),"""
+    + detect_sql("lv", 100.0) + "," + depth_sql("lv", 10)
+    + """ SELECT string_split(dp.series, chr(2))[1] AS series, CAST(string_split(dp.series, chr(2))[2] AS BIGINT) AS n, CAST(0 AS INT) AS dim,
+  round(coalesce(ft.f0, 0), 4) AS f0, round(depth, 4) AS depth, depth > 0.8 AS is_anomaly, CAST(NULL AS VARCHAR) AS error
+FROM dp LEFT JOIN ft ON ft.series = dp.series"""
+)
 
 
 @query
 def engine_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engine.analyse(_orders(spark, sf_dir), engine.Config(fs=12.0, window=48, state_space=False, multivariate=False))["depths"]
+    d = engine.analyse(_orders(spark, sf_dir), engine.Config(fs=12.0, window=48, state_space=False, multivariate=False))["depths"]
+    return show(d, "series", "dim", "is_anomaly", **dict.fromkeys(PARTS, 4))
+
+
+PARTS = ("depth", "sc", "tp", "pc", "amp", "ci_lo", "ci_hi", "f0", "legacy_std")
+
+
+def _embedded_sql(ms: list[int], taus: list[int]) -> str:
+    """`em`: a series for each dimension of each embedding of the cleaned monthly orders, named series, m, tau and dimension."""
+    return f""",
+o0 AS (SELECT series, row_number() OVER (PARTITION BY series ORDER BY t) - 1 AS t, count(*) OVER (PARTITION BY series) AS n, v FROM zs),
+em AS (
+  SELECT o0.series || chr(2) || m || chr(2) || tau || chr(2) || dim AS series, t - dim * tau AS t, v
+  FROM o0, (SELECT unnest({ms}) AS m), (SELECT unnest({taus}) AS tau), (SELECT unnest(range(0, {max(ms)})) AS dim)
+  WHERE dim < m AND t >= dim * tau AND t < n - (m - 1 - dim) * tau),"""
+
+
+ORACLES["engine_depths"] = (
+    ORDERS_SQL + _embedded_sql([3], [1]) + detect_sql("em", 12.0) + "," + depth_sql("em", 48, 12.0, "ft")
+    + """, al AS (SELECT e.series, coalesce(depth, 0) AS depth, coalesce(sc, 0) AS sc, coalesce(tp, 0) AS tp, coalesce(pc, 0) AS pc, coalesce(amp, 0) AS amp,
+  coalesce(greatest(0, depth - h), 0) AS ci_lo, coalesce(least(1, depth + h), 0) AS ci_hi, coalesce(f0, 0) AS f0, coalesce(legacy_std, 0) AS legacy_std
+  FROM (SELECT DISTINCT series FROM em) e LEFT JOIN hw ON hw.series = e.series)
+SELECT string_split(series, chr(2))[1] AS series, CAST(string_split(series, chr(2))[4] AS INT) AS dim, depth > 0.8 AS is_anomaly, """
+    + ", ".join(f"round({c}, 4) AS {c}" for c in PARTS) + " FROM al"
+)
 
 
 @query
@@ -102,7 +140,27 @@ def engine_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = views.hourly(spark, sf_dir)
     dims = e.select("series").distinct().withColumn("dim", F.dense_rank().over(Window.orderBy("series")) - 1)
     signal = e.join(F.broadcast(dims), "series").select(F.when(F.col("t") < 360, "early").otherwise("late").alias("series"), F.col("dim").cast("int").alias("dim"), "t", "v")
-    return engine.analyse(signal, engine.Config(fs=1.0, state_space=False, surrogates=19, max_lag=3))["edges"]
+    return engine.analyse(signal, engine.Config(fs=1.0, state_space=False, surrogates=19, max_lag=3))["edges"].transform(show, "series", "src", "dst", "lag", weight=6, p=6)
+
+
+ORACLES["engine_edges"] = (
+    views.with_views("eh")
+    + ", en AS (SELECT CASE WHEN t < 360 THEN 'early' ELSE 'late' END AS entity, CAST(dense_rank() OVER (ORDER BY series) - 1 AS VARCHAR) AS series, t, v FROM eh),"
+    + lag_sql("en", "entity", tag="0")
+    + """, pm AS (
+  SELECT entity || '/' || surrogate AS trial, series, v,
+    row_number() OVER (PARTITION BY entity, surrogate, series ORDER BY md5('0:' || surrogate || ':' || series || ':' || t || ':' || entity), t) - 1 AS t
+  FROM en, (SELECT unnest(range(1, 20)) AS surrogate)),"""
+    + lag_sql("pm", "trial")
+    + """, pv AS (
+  SELECT r.entity, r.src, r.dst, r.score, r.lag, CASE WHEN r.src = r.dst THEN 1 ELSE (sum(CASE WHEN n.score >= r.score THEN 1 ELSE 0 END) + 1) / 20.0 END AS p
+  FROM sm0 r JOIN sm n ON n.src = r.src AND n.dst = r.dst AND string_split(n.trial, '/')[1] = r.entity GROUP BY ALL),
+a AS (SELECT entity, avg(score) + stddev_pop(score) AS bar FROM pv GROUP BY 1),
+h AS (SELECT pv.* FROM pv JOIN a ON a.entity = pv.entity WHERE src <> dst AND score > bar),
+g AS (SELECT * FROM h WHERE p <= 0.05)
+SELECT entity AS series, src, dst, round(score, 6) AS weight, CAST(lag AS INT) AS lag, round(p, 6) AS p FROM g
+UNION ALL SELECT entity, src, dst, round(score, 6), NULL, NULL FROM h WHERE entity NOT IN (SELECT entity FROM g)"""
+)
 
 
 @query
@@ -126,7 +184,14 @@ def depth_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def parameter_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engine.sweep(_orders(spark, sf_dir).drop("dim"), [2, 3], [1, 2], 48)
+    return show(engine.sweep(_orders(spark, sf_dir).drop("dim"), [2, 3], [1, 2], 48), "series", "m", "tau", depth=4)
+
+
+ORACLES["parameter_sweep"] = (
+    ORDERS_SQL + _embedded_sql([2, 3], [1, 2]).rstrip(",") + "," + depth_sql("em", 48)
+    + """ SELECT string_split(e.series, chr(2))[1] AS series, CAST(string_split(e.series, chr(2))[2] AS INT) AS m, CAST(string_split(e.series, chr(2))[3] AS INT) AS tau,
+  round(avg(coalesce(depth, 0)), 4) AS depth FROM (SELECT DISTINCT series FROM em) e LEFT JOIN dp ON dp.series = e.series GROUP BY 1, 2, 3"""
+)
 
 
 @query

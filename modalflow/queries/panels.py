@@ -38,12 +38,16 @@ def _prep_sql(how: str, fill: bool = True, z: bool = True, source: str = "om") -
     }[how]
     sql = f"""
 tr AS (SELECT series, t, {step} AS v, row_number() OVER w AS p FROM {source} WINDOW w AS (PARTITION BY series ORDER BY t)),
-nb AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN struct_pack(p := p, v := v) END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS a, first_value(CASE WHEN v IS NOT NULL THEN struct_pack(p := p, v := v) END IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM tr WINDOW w AS (PARTITION BY series ORDER BY t)),
-fl AS (SELECT series, t, {"CASE WHEN v IS NOT NULL THEN v WHEN a IS NULL THEN b.v WHEN b IS NULL THEN a.v ELSE a.v + (b.v - a.v) * (p - a.p) / (b.p - a.p) END" if fill else "v"} AS v FROM nb)"""
+nv AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN struct_pack(p := p, v := v) END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS a, first_value(CASE WHEN v IS NOT NULL THEN struct_pack(p := p, v := v) END IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM tr WINDOW w AS (PARTITION BY series ORDER BY t)),
+fl AS (SELECT series, t, {"CASE WHEN v IS NOT NULL THEN v WHEN a IS NULL THEN b.v WHEN b IS NULL THEN a.v ELSE a.v + (b.v - a.v) * (p - a.p) / (b.p - a.p) END" if fill else "v"} AS v FROM nv)"""
     out = "(v - avg(v) OVER w) / CASE WHEN stddev_pop(v) OVER w = 0 THEN 1 ELSE stddev_pop(v) OVER w END" if z else "v"
     return sql + f", zs AS (SELECT series, t, {out} AS v FROM fl WHERE v IS NOT NULL WINDOW w AS (PARTITION BY series))"
 
 
+#: `zs`: the monthly orders, interpolated and standardized.
+ORDERS_SQL = views.with_views("om") + "," + _prep_sql("level", True, True)
+
+
 def _prep(name: str, how: str, fill: bool = True, z: bool = True) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         c = prep.clean(views.monthly_orders(spark, sf_dir), ["series"], "t", ["v"], how, fill, z)

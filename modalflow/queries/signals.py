@@ -33,7 +33,7 @@ _FFT = """
 x AS (SELECT series, t, v - avg(v) OVER (PARTITION BY series) AS x, count(*) OVER (PARTITION BY series) AS n FROM eh),
 d AS (
   SELECT series, k AS bin, n, sum(x * cos(2 * pi() * ((k * t) % n) / n)) AS re, sum(-x * sin(2 * pi() * ((k * t) % n) / n)) AS im
-  FROM x, (SELECT unnest(range(0, 361)) AS k) WHERE k <= n // 2 GROUP BY 1, 2, 3),
+  FROM x, (SELECT unnest(range(0, max(n) // 2 + 1)) AS k FROM x) WHERE k <= n // 2 GROUP BY 1, 2, 3),
 sp AS (SELECT series, bin, bin * 1.0 / n AS freq, sqrt(re * re + im * im) AS value FROM d)"""
 _PEAKS = """
 nb AS (SELECT *, lag(value) OVER w AS l, lead(value) OVER w AS r, min(value) OVER (w ROWS UNBOUNDED PRECEDING) AS ml, min(value) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS mr FROM sp WINDOW w AS (PARTITION BY series ORDER BY bin)),
@@ -114,32 +114,65 @@ def takens_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("series", "t", *(rounded(F.col("x")[i]).alias(f"x{i}") for i in range(3)))
 
 
-_DEPTH = (
+def _density_sql(tag: str, source: str, fs: float) -> str:
+    """`{tag}w`: density, up to a factor, of each series of (series, t from 0, v) as one segment of at most 256 rows."""
+    return f"""
+{tag}x AS (
+  SELECT series, t, n, (v - mean) * (0.5 - 0.5 * cos(2 * pi() * t / n)) AS x
+  FROM (SELECT *, count(*) OVER (PARTITION BY series) AS n, avg(v) OVER (PARTITION BY series) AS mean FROM {source})),
+{tag}d AS (
+  SELECT series, k AS bin, n, sum(x * cos(2 * pi() * ((k * t) % n) / n)) AS re, sum(-x * sin(2 * pi() * ((k * t) % n) / n)) AS im
+  FROM {tag}x, (SELECT unnest(range(0, 129)) AS k) WHERE k <= n // 2 GROUP BY 1, 2, 3),
+{tag}w AS (SELECT series, bin, bin * {fs:.1f} / n AS freq, (re * re + im * im) * CASE WHEN bin = 0 OR bin * 2 = n THEN 1 ELSE 2 END AS value FROM {tag}d),
+{tag}t AS (SELECT series, arg_max(freq, struct_pack(value := value, b := -bin)) AS f FROM {tag}w WHERE freq > 0 GROUP BY 1)"""
+
+
+def depth_sql(source: str, window: int, fs: float = 1.0, target: str | None = None) -> str:
+    """`dp` (depth and its parts) and `hw` (with half widths) of (series, t from 0, v) rows, for windows of at most 256.
+
+    `target` names (series, f0) of the frequencies to take where there are any.
     """
-lw AS (SELECT series, t - 464 AS t, v FROM eh WHERE t >= 464),"""
-    + _welch_sql("lw", 256, 128, "j")
-    + """,
-tg AS (SELECT series, arg_max(freq, struct_pack(value := value, b := -bin)) AS f0 FROM jw WHERE freq > 0 GROUP BY 1),
-md AS (SELECT series, arg_min(bin, struct_pack(d := abs(freq - f0), b := bin)) AS mid FROM jw JOIN tg USING (series) GROUP BY 1),
-sc AS (SELECT series, sum(value) FILTER (abs(bin - mid) <= 1) / sum(value) FILTER (freq > 0) AS sc FROM jw JOIN md USING (series) GROUP BY 1),
-sg AS (SELECT series || '/' || (t // 180) AS series, t % 180 AS t, v FROM eh),"""
-    + _welch_sql("sg", 180, 90, "g")
-    + """,
-gt AS (SELECT series, arg_max(freq, struct_pack(value := value, b := -bin)) AS f FROM gw WHERE freq > 0 GROUP BY 1),
-tp AS (SELECT tg.series, avg(exp(-(((f - f0) / 0.5) ** 2))) AS tp FROM gt JOIN tg ON tg.series = string_split(gt.series, '/')[1] GROUP BY 1),
+    given = f"SELECT jt.series, coalesce(g.f0, jt.f) AS f0 FROM jt LEFT JOIN {target} g ON g.series = jt.series" if target else "SELECT series, f AS f0 FROM jt"
+    return (
+        f"""
+nn AS (SELECT series, t, v, count(*) OVER (PARTITION BY series) AS n FROM {source}),
+lw AS (SELECT series, t - n + {window} AS t, v FROM nn WHERE n >= {window} AND t >= n - {window}),"""
+        + _density_sql("j", "lw", fs)
+        + f""",
+tg AS ({given}),
+md AS (SELECT jw.series, arg_min(bin, struct_pack(d := abs(freq - f0), b := bin)) AS mid FROM jw JOIN tg ON tg.series = jw.series GROUP BY 1),
+sc AS (
+  SELECT jw.series, CASE WHEN sum(value) FILTER (freq > 0) > 0 THEN least(1, sum(value) FILTER (abs(bin - mid) <= 1) / sum(value) FILTER (freq > 0)) ELSE 0 END AS sc
+  FROM jw JOIN md ON md.series = jw.series GROUP BY 1),
+sz AS (SELECT series, t, v, n, least({window}, greatest(32, n // 4)) AS size FROM nn WHERE n >= {window}),
+sg AS (SELECT series || chr(1) || (t // size) AS series, t % size AS t, v FROM sz WHERE (t // size + 1) * size <= n),"""
+        + _density_sql("g", "sg", fs)
+        + f""",
+sw AS (SELECT series, greatest({fs:.1f} / min(size), 0.5) AS width FROM sz GROUP BY 1),
+tp AS (
+  SELECT tg.series, avg(exp(-(((f - f0) / width) ** 2))) AS tp
+  FROM gt JOIN tg ON tg.series = string_split(gt.series, chr(1))[1] JOIN sw ON sw.series = tg.series GROUP BY 1),
 zx AS (SELECT series, t, v - avg(v) OVER (PARTITION BY series) AS x FROM lw),
-zd AS (SELECT series, k, sum(x * cos(2 * pi() * ((k * t) % 256) / 256)) AS re, sum(-x * sin(2 * pi() * ((k * t) % 256) / 256)) AS im FROM zx, (SELECT unnest(range(0, 129)) AS k) GROUP BY 1, 2),
+zd AS (SELECT series, k, sum(x * cos(2 * pi() * ((k * t) % {window}) / {window})) AS re, sum(-x * sin(2 * pi() * ((k * t) % {window}) / {window})) AS im FROM zx, (SELECT unnest(range(0, {window // 2 + 1})) AS k) GROUP BY 1, 2),
 za AS (
   SELECT series, t, sum(m * (re * cos(a) - im * sin(a))) AS re, sum(m * (re * sin(a) + im * cos(a))) AS im
-  FROM (SELECT series, t, re, im, CASE WHEN k = 0 OR k = 128 THEN 1.0 ELSE 2.0 END / 256 AS m, 2 * pi() * ((k * t) % 256) / 256 AS a FROM zd, (SELECT unnest(range(0, 256)) AS t)) GROUP BY 1, 2),
+  FROM (SELECT series, t, re, im, CASE WHEN k = 0 OR k * 2 = {window} THEN 1.0 ELSE 2.0 END / {window} AS m, 2 * pi() * ((k * t) % {window}) / {window} AS a FROM zd, (SELECT unnest(range(0, {window})) AS t)) GROUP BY 1, 2),
 zp AS (
-  SELECT series, sqrt(avg(cos(u)) ** 2 + avg(sin(u)) ** 2) AS pc, greatest(0, least(1, 1 - stddev_pop(r) / avg(r))) AS amp
-  FROM (SELECT za.series, atan2(im, re) - 2 * pi() * f0 * t AS u, sqrt(re * re + im * im) AS r FROM za JOIN tg ON tg.series = za.series) GROUP BY 1),
+  SELECT series, least(1, sqrt(avg(cos(u)) ** 2 + avg(sin(u)) ** 2)) AS pc, CASE WHEN avg(r) > 2.220446049250313e-16 THEN greatest(0, least(1, 1 - stddev_pop(r) / avg(r))) ELSE 0 END AS amp
+  FROM (SELECT za.series, atan2(im, re) - 2 * pi() * f0 * t / {fs:.1f} AS u, sqrt(re * re + im * im) AS r FROM za JOIN tg ON tg.series = za.series) GROUP BY 1),
 dp AS (
   SELECT series, greatest(0, least(1, 0.35 * sc + 0.25 * tp + 0.25 * pc + 0.15 * amp)) AS depth, sc, tp, pc, amp, f0, legacy_std
   FROM tg JOIN sc USING (series) JOIN tp USING (series) JOIN zp USING (series) JOIN (SELECT series, stddev_samp(v) AS legacy_std FROM lw GROUP BY 1) USING (series)),
-hw AS (SELECT *, greatest(0.02, least(0.25, 1.96 * sqrt(greatest(depth * (1 - depth), 0) / 8))) AS h FROM dp)"""
-)
+hw AS (SELECT *, greatest(0.02, least(0.25, 1.96 * sqrt(greatest(depth * (1 - depth), 0) / {max(4, window // 32)}))) AS h FROM dp)"""
+    )
+
+
+def detect_sql(source: str, fs: float) -> str:
+    """`pk`: peaks of the transform of (series, t from 0, v) rows, ranked; `ft`: series and the strongest one's frequency f0."""
+    return _FFT.replace("FROM eh", f"FROM {source}").replace("bin * 1.0 / n", f"bin * {fs:.1f} / n") + "," + _PEAKS + ",\nft AS (SELECT series, freq AS f0 FROM pk WHERE rank = 1)"
+
+
+_DEPTH = depth_sql("eh", 256)
 _DEPTH_SELECT = " SELECT series, " + ", ".join(f"round({c}, 4) AS {c}" for c in ("depth", "sc", "tp", "pc", "amp", "f0", "legacy_std")) + ", round(greatest(0, depth - h), 4) AS ci_lo, round(least(1, depth + h), 4) AS ci_hi FROM hw"
 
 
@@ -167,20 +200,20 @@ def anomaly_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("series", rounded("depth").alias("depth"), (F.col("depth") > 0.4).alias("is_anomaly"))
 
 
-def _lag_sql(source: str, keys: str = "", lags: int = 3) -> str:
+def lag_sql(source: str, keys: str = "", lags: int = 3, tag: str = "") -> str:
     k = f"{keys}, " if keys else ""
     on = f" AND a.{keys} = b.{keys}" if keys else ""
     ak = f"a.{keys}, " if keys else ""
     return f"""
-lc AS (
+lc{tag} AS (
   SELECT {ak}a.series AS src, b.series AS dst, l.lag AS lag, CASE WHEN count(*) >= 2 AND stddev_pop(a.v) > 2.3e-16 AND stddev_pop(b.v) > 2.3e-16 THEN abs(covar_pop(a.v, b.v) / (stddev_pop(a.v) * stddev_pop(b.v))) ELSE 0 END AS r
   FROM {source} a CROSS JOIN (SELECT unnest(range(1, {lags + 1})) AS lag) l JOIN {source} b ON b.t = a.t + l.lag AND a.series <> b.series{on} GROUP BY ALL),
-sm AS (
-  SELECT {k}src, dst, max(r) AS score, arg_max(lag, struct_pack(r := r, l := -lag)) AS lag FROM lc GROUP BY ALL
+sm{tag} AS (
+  SELECT {k}src, dst, max(r) AS score, arg_max(lag, struct_pack(r := r, l := -lag)) AS lag FROM lc{tag} GROUP BY ALL
   UNION ALL SELECT DISTINCT {k}series, series, 0, 0 FROM {source})"""
 
 
-@query(views.with_views("ed") + "," + _lag_sql("ed") + " SELECT src, dst, round(score, 6) AS score, CAST(lag AS INT) AS lag FROM sm")
+@query(views.with_views("ed") + "," + lag_sql("ed") + " SELECT src, dst, round(score, 6) AS score, CAST(lag AS INT) AS lag FROM sm")
 def lagcorr_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return show(_scores(spark, sf_dir), "src", "dst", "lag", score=6)
 
@@ -195,7 +228,7 @@ def dims(spark: SparkSession, sf_dir: str) -> list[str]:
 
 
 @query(
-    views.with_views("ed") + "," + _lag_sql("ed")
+    views.with_views("ed") + "," + lag_sql("ed")
     + """, o AS (SELECT avg(score) + stddev_pop(score) AS bar FROM sm WHERE src <> dst), a AS (SELECT avg(score) + stddev_pop(score) AS bar FROM sm)
 SELECT src, dst, round(score, 6) AS weight, CAST(lag AS INT) AS lag, CAST(0 AS DOUBLE) AS p FROM sm, o, a WHERE src <> dst AND score > o.bar AND score > 0 AND score > a.bar"""
 )
@@ -208,8 +241,8 @@ pm AS (
   SELECT surrogate, series, row_number() OVER (PARTITION BY surrogate, series ORDER BY md5('7:' || surrogate || ':' || series || ':' || t), t) - 1 AS t, v
   FROM ed, (SELECT unnest(range(1, 20)) AS surrogate)),"""
 _P = (
-    views.with_views("ed") + "," + _lag_sql("ed").replace("lc AS", "lc0 AS").replace("sm AS", "sm0 AS").replace("FROM lc ", "FROM lc0 ")
-    + "," + _PERM + _lag_sql("pm", "surrogate")
+    views.with_views("ed") + "," + lag_sql("ed", tag="0")
+    + "," + _PERM + lag_sql("pm", "surrogate")
     + """, pv AS (
   SELECT r.src, r.dst, r.score, r.lag, CASE WHEN r.src = r.dst THEN 1 ELSE (sum(CASE WHEN n.score >= r.score THEN 1 ELSE 0 END) + 1) / 20.0 END AS p
   FROM sm0 r JOIN sm n ON n.src = r.src AND n.dst = r.dst GROUP BY r.src, r.dst, r.score, r.lag)"""
@@ -290,7 +323,7 @@ def markov_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     views.with_views("eh")
-    + """, w AS (SELECT series, k AS win, avg(v) AS mean, stddev_samp(v) AS sd FROM eh JOIN (SELECT unnest(range(0, 24)) AS k) ON t >= k * 24 AND t < k * 24 + 168 WHERE k * 24 < 720 - 168 GROUP BY 1, 2)
+    + """, w AS (SELECT series, k AS win, avg(v) AS mean, stddev_samp(v) AS sd FROM eh JOIN (SELECT unnest(range(0, greatest(0, (max(t) + 1 - 168 + 23) // 24))) AS k FROM eh) ON t >= k * 24 AND t < k * 24 + 168 GROUP BY 1, 2)
 SELECT series, win, round(mean, 6) AS mean, round(sd, 4) AS sd FROM w"""
 )
 def sliding_window_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,7 +332,8 @@ def sliding_window_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     Values have two decimals, so a mean of 168 can be a tie at four decimals and never at six.
     """
     e = views.hourly(spark, sf_dir)
-    rows = e.withColumn("win", F.explode(F.sequence(F.greatest(F.lit(0), F.ceil((F.col("t") - 167) / 24)), F.floor(F.col("t") / 24)))).where(F.col("win") * 24 < 720 - 168)
+    size = e.agg((F.max("t") + 1).alias("steps"))
+    rows = e.crossJoin(F.broadcast(size)).withColumn("win", F.explode(F.sequence(F.greatest(F.lit(0), F.ceil((F.col("t") - 167) / 24)), F.floor(F.col("t") / 24)))).where(F.col("win") * 24 < F.col("steps") - 168)
     return show(rows.groupBy("series", "win").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd")), "series", "win", mean=6, sd=4)
 
 
@@ -309,10 +343,9 @@ def sliding_window_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT x, y, round(r, 6) AS r FROM p"""
 )
 def correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = views.daily(spark, sf_dir)
-    a, b = d.select(F.col("series").alias("x"), "t", F.col("v").alias("a")), d.select(F.col("series").alias("y"), "t", F.col("v").alias("b"))
-    g = a.join(b, "t").groupBy("x", "y").agg(F.covar_pop("a", "b").alias("c"), F.stddev_pop("a").alias("sa"), F.stddev_pop("b").alias("sb"))
-    return g.select("x", "y", rounded(F.try_divide("c", F.col("sa") * F.col("sb")), 6).alias("r"))
+    names = dims(spark, sf_dir)
+    r = rooting.correlation(rooting.widen(views.daily(spark, sf_dir), names), names)
+    return r.select("x", "y", rounded("r", 6).alias("r"))
 
 
 @query(

@@ -5,32 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-HOURS, DAYS = 720, 30
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _calendar(events: DataFrame, steps: int) -> DataFrame:
-    """Every (series, t): spectra need a sample for each step."""
-    return events.select(F.col("event_type").alias("series")).distinct().select("series", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("t"))
-
-
-def _filled(events: DataFrame, t, steps: int) -> DataFrame:
-    sums = events.select(F.col("event_type").alias("series"), t.alias("t"), "value").groupBy("series", "t").agg(F.sum("value").alias("v"))
-    return _calendar(events, steps).join(sums, ["series", "t"], "left").select("series", F.col("t").cast("int"), F.coalesce("v", F.lit(0.0)).alias("v"))
+def _filled(events: DataFrame, per_day: int) -> DataFrame:
+    """series, t, v for every series and every step of the days that the events span: spectra need a sample for each step."""
+    days = events.agg(F.min(F.to_date("ts")).alias("first"), F.max(F.to_date("ts")).alias("last"))
+    # One row, so the calendar and the steps take it as a broadcast.
+    hour = F.hour("ts") if per_day == 24 else F.lit(0)
+    t = F.datediff(F.to_date("ts"), F.col("first")) * per_day + hour
+    spanned = events.where("ts is not null").crossJoin(F.broadcast(days))
+    sums = spanned.select(F.col("event_type").alias("series"), t.alias("t"), "value").groupBy("series", "t").agg(F.sum("value").alias("v"))
+    steps = F.sequence(F.lit(0), (F.datediff("last", "first") + 1) * per_day - 1)
+    calendar = events.select(F.col("event_type").alias("series")).distinct().crossJoin(F.broadcast(days)).select("series", F.explode(steps).alias("t"))
+    return calendar.join(sums, ["series", "t"], "left").select("series", F.col("t").cast("int"), F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """series, t (hour of January 2024), v: summed event values, zero where none."""
-    e = table(spark, sf_dir, "events")
-    return _filled(e, F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) * 24 + F.hour("ts"), HOURS)
+    """series, t (hours since the first day's midnight), v: summed event values, zero where none, to the end of the last day."""
+    return _filled(table(spark, sf_dir, "events"), 24)
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return _filled(e, F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")), DAYS)
+    """series, t (days since the first), v: summed event values, zero where none."""
+    return _filled(table(spark, sf_dir, "events"), 1)
 
 
 def monthly_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,15 +107,18 @@ def schedules(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     return liquidity, securities, capital
 
 
-def _filled_sql(step: str, steps: int) -> str:
+def _filled_sql(step: str, per_day: int) -> str:
     return f"""SELECT y.series, h.t, coalesce(s.v, 0) AS v
-  FROM (SELECT DISTINCT event_type AS series FROM events) y CROSS JOIN (SELECT unnest(range(0, {steps})) AS t) h
-  LEFT JOIN (SELECT event_type AS series, date_diff('{step}', TIMESTAMP '2024-01-01', ts) AS t, sum(value) AS v FROM events GROUP BY 1, 2) s ON s.series = y.series AND s.t = h.t"""
+  FROM (SELECT DISTINCT event_type AS series FROM events) y
+  CROSS JOIN (SELECT unnest(range(0, (date_diff('day', min(ts), max(ts)) + 1) * {per_day})) AS t FROM events) h
+  LEFT JOIN (
+    SELECT event_type AS series, date_diff('{step}', o.first, ts) AS t, sum(value) AS v
+    FROM events, (SELECT date_trunc('day', min(ts)) AS first FROM events) o GROUP BY 1, 2) s ON s.series = y.series AND s.t = h.t"""
 
 
 SQL = {
-    "eh": _filled_sql("hour", HOURS),
-    "ed": _filled_sql("day", DAYS),
+    "eh": _filled_sql("hour", 24),
+    "ed": _filled_sql("day", 1),
     "om": """SELECT series, t, CASE WHEN t % 11 <> 0 THEN v END AS v FROM (
     SELECT o_orderpriority AS series, (year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 AS t, sum(o_totalprice) / 1e6 AS v FROM orders GROUP BY 1, 2)""",
     "nq": """SELECT n_name AS institution, r_name AS peer_group, c.date, CASE WHEN NOT (c.k % 7 = 0 AND quarter(c.date) = 1) THEN c.order_total END AS order_total,

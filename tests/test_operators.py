@@ -173,3 +173,16 @@ def test_governance():
     assert "n/a" in text and "No significant directed edges." in text and "0.5000" in text
     e = governance.explanation([{"dim": 1, "depth": 0.2}, {"dim": 0, "depth": 0.9}], [{"src": "0", "dst": "1"}], ["a", "b"])
     assert [m["name"] for m in e["modes"]] == ["a", "b"] and e["edges"][0]["dst"] == "b"
+
+
+def test_leads_over_chunks_equal_one_window(spark):
+    """A keyless series with gaps in t, cut to chunks of 4 rows, gives the rows of one window over all."""
+    rows = [(t, float(t * t % 17), None if t % 5 == 0 else float(t)) for t in range(-9, 60) if t % 7 != 3]
+    wide = spark.createDataFrame(rows, "t int, d0 double, d1 double")
+    want = []
+    for i, r in enumerate(rows):
+        later = [[rows[i + k][c] if i + k < len(rows) else None for k in (1, 2, 3)] for c in (1, 2)]
+        want.append((*r[1:], *later[0], *later[1]))
+    got = [tuple(r) for r in rooting._leads(wide, ["d0", "d1"], 3, (), size=4).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert rooting._leads(wide.limit(0), ["d0"], 3, ()).count() == 0
