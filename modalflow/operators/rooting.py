@@ -92,9 +92,10 @@ def surrogate_p(
     """scores with p = (1 + surrogates that score as much) / (1 + surrogates); 1 on the diagonal."""
     pair, trial = [*keys, "src", "dst"], (*keys, "surrogate")
     null = lagged_correlation(widen(permuted(signal, surrogates, seed, keys), dims, trial), dims, max_lag, trial)
-    both = null.select(*pair, F.col("score").alias("s")).join(scores.select(*pair, F.col("score").alias("real")), pair)
-    p = both.groupBy(*pair).agg(((F.sum((F.col("s") >= F.col("real")).cast("int")) + 1) / (surrogates + 1)).alias("p"))
-    return scores.join(p, pair).withColumn("p", F.when(F.col("src") == F.col("dst"), 1.0).otherwise(F.col("p")))
+    both = null.select(*pair, F.col("score").alias("s")).join(scores, pair)
+    p = (F.sum((F.col("s") >= F.col("score")).cast("int")) + 1) / (surrogates + 1)
+    found = both.groupBy(*scores.columns).agg(p.alias("p"))
+    return found.withColumn("p", F.when(F.col("src") == F.col("dst"), 1.0).otherwise(F.col("p")))
 
 
 def _with_totals(df: DataFrame, totals: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -113,13 +114,16 @@ def plain_p(scores: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return _with_totals(scores, off, keys).withColumn("p", F.when(high, 0.0).otherwise(1.0)).drop("bar")
 
 
+def _above(scores: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Off-diagonal pairs above mean + deviation of their entity's matrix, which a window holds: scores are made once."""
+    by = Window.partitionBy(*keys)
+    bar = F.avg("score").over(by) + F.stddev_pop("score").over(by)
+    return scores.withColumn("_bar", bar).where((F.col("src") != F.col("dst")) & (F.col("score") > F.col("_bar"))).drop("_bar")
+
+
 def edges(scores: DataFrame, alpha: float = 0.05, keys: tuple[str, ...] = ()) -> DataFrame:
     """keys, src, dst, weight, lag, p of pairs above mean + deviation of the whole matrix."""
-    bar = _totals(scores, keys, (F.avg("score") + F.stddev_pop("score")).alias("bar"))
-    return (
-        _with_totals(scores, bar, keys).where((F.col("src") != F.col("dst")) & (F.col("score") > F.col("bar")) & (F.col("p") <= alpha))
-        .select(*keys, "src", "dst", F.col("score").alias("weight"), "lag", "p")
-    )
+    return _above(scores, keys).where(F.col("p") <= alpha).select(*keys, "src", "dst", F.col("score").alias("weight"), "lag", "p")
 
 
 def directions(scores: DataFrame, confidence: float, least: float) -> DataFrame:
@@ -133,12 +137,11 @@ def directions(scores: DataFrame, confidence: float, least: float) -> DataFrame:
 
 def influence_graph(scores: DataFrame, alpha: float = 0.05, keys: tuple[str, ...] = ()) -> DataFrame:
     """Significant edges; of an entity that has none, the pairs above the threshold, without p and lag."""
-    good = edges(scores, alpha, keys)
-    loose = edges(scores.withColumn("p", F.lit(0.0)), keys=keys).select(*keys, "src", "dst", "weight", F.lit(None).cast("int").alias("lag"), F.lit(None).cast("double").alias("p"))
-    if keys:
-        return good.unionByName(loose.join(good.select(*keys).distinct(), list(keys), "left_anti"))
-    some = good.agg((F.count(F.lit(1)) > 0).alias("some"))
-    return good.unionByName(loose.crossJoin(F.broadcast(some)).where("not some").drop("some"))
+    good = F.col("p") <= alpha
+    marked = _above(scores, keys).withColumn("_good", good).withColumn("_some", F.max("_good").over(Window.partitionBy(*keys)))
+    return marked.where("_good or not _some").select(
+        *keys, "src", "dst", F.col("score").alias("weight"), F.when(F.col("_good"), F.col("lag")).alias("lag"), F.when(F.col("_good"), F.col("p")).alias("p")
+    )
 
 
 def binned(signal: DataFrame, bins: int = 10) -> DataFrame:

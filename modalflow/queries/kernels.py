@@ -154,7 +154,7 @@ ORACLES["engine_edges"] = (
     + lag_sql("pm", "trial")
     + """, pv AS (
   SELECT r.entity, r.src, r.dst, r.score, r.lag, CASE WHEN r.src = r.dst THEN 1 ELSE (sum(CASE WHEN n.score >= r.score THEN 1 ELSE 0 END) + 1) / 20.0 END AS p
-  FROM sm0 r JOIN sm n ON n.src = r.src AND n.dst = r.dst AND string_split(n.trial, '/')[1] = r.entity GROUP BY ALL),
+  FROM sm0 r JOIN sm n ON n.src = r.src AND n.dst = r.dst AND string_split(n.trial, '/')[1] = r.entity GROUP BY r.entity, r.src, r.dst, r.score, r.lag),
 a AS (SELECT entity, avg(score) + stddev_pop(score) AS bar FROM pv GROUP BY 1),
 h AS (SELECT pv.* FROM pv JOIN a ON a.entity = pv.entity WHERE src <> dst AND score > bar),
 g AS (SELECT * FROM h WHERE p <= 0.05)
